@@ -56,7 +56,7 @@ def publish(uri: str, name: str, payload_writer) -> str:
     system, root = filesystem(uri)
     system.create_dir(root, recursive=True)
     temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(temporary) as stream:
+    with system.open_output_stream(temporary, compression=None) as stream:
         payload_writer(stream)
     system.move(temporary, f"{root}/{name}")
     return name
