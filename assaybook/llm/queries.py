@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaybook.llm import mixing, pii
+from assaybook.llm import mixing, mpeg_audio, pieces, pii, token_frames, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.op1_pii,
+        "op2_token_frames": token_frames.op2_token_frames,
+        "op3_warc": warc.op3_warc,
         "op4_mixing": mixing.op4_mixing,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op8_media": mpeg_audio.op8_media,
+        "op9_pieces": pieces.op9_pieces,
     }
 
 

@@ -1,14 +1,15 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word's vector is the mean of the vectors of its byte n-grams (3 to 5, with
-word ends) and of the word itself, all hashed into one table; a window of 32
-words is the mean of its words' vectors, and a softmax over two classes reads
+word ends) and of the word itself, all hashed into one table; a window of 16
+words is the mean of its words' vectors (a shorter one is filled up with zero
+vectors), and a softmax over two classes reads
 it. Table and softmax are trained jointly in numpy. A misspelling shares most
 of its n-grams with the word it stands for, and so its vector.
 
 Labels mark whole documents, of which a few words may be toxic: training first
-gives every window its document's label, then keeps as toxic only the windows
-of toxic documents that score highest, and goes on. A document's score is a
+gives every window its document's label, then goes on with each document's
+highest window alone. A document's score is a
 logistic function, fitted on documents that training left out, of its highest
 window.
 
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from assaybook.llm.common import mix64
 
-ROWS_A_CLASS, LONGEST = 1000, 65_536
-BUCKETS, DIMENSIONS, WINDOW = 1 << 17, 8, 32
+ROWS_A_CLASS, LONGEST = 1500, 65_536
+BUCKETS, DIMENSIONS, WINDOW = 1 << 17, 8, 16
 _GRAMS = (3, 4, 5)
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _TABLE_WORDS, _CHUNK_BYTES = 500_000, 1 << 21
@@ -100,7 +101,7 @@ class Model:
         if not len(scores):
             return self.bias
         starts = np.arange(0, len(scores), WINDOW)
-        return float((np.add.reduceat(scores, starts) / np.minimum(WINDOW, len(scores) - starts)).max()) + self.bias
+        return float(np.add.reduceat(scores, starts).max()) / WINDOW + self.bias
 
     def probability(self, logit: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -40, 40))))
@@ -113,12 +114,16 @@ def _constant(share: float) -> Model:
 
 
 class _Groups:
-    """Means over runs of rows, and their gradients: ``of`` names each entry's row, ``starts`` each run's first entry."""
+    """Means over runs of rows, and their gradients: ``of`` names each entry's row, ``starts`` each run's first entry.
 
-    def __init__(self, of: np.ndarray, starts: np.ndarray, rows: int):
+    A run of fewer than ``over`` entries counts as that many.
+    """
+
+    def __init__(self, of: np.ndarray, starts: np.ndarray, rows: int, over: int = 0):
         self.of, self.starts, self.rows = of, starts, rows
-        self.count = np.diff(np.append(starts, len(of))).astype(np.float32)[:, None]
-        run = np.repeat(np.arange(len(starts)), self.count[:, 0].astype(np.int64))
+        length = np.diff(np.append(starts, len(of)))
+        self.count = np.maximum(length, over).astype(np.float32)[:, None]
+        run = np.repeat(np.arange(len(starts)), length)
         order = np.argsort(of, kind="stable")
         self.back = run[order]
         self.used, self.back_starts = np.unique(of[order], return_index=True)
@@ -132,67 +137,103 @@ class _Groups:
         return out
 
 
-def _adam(params: list[np.ndarray], state: list, grads: list[np.ndarray], step: int, rate: float) -> None:
-    for p, (m, v), g in zip(params, state, grads, strict=True):
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
-        p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-
-
-def fit(texts: list[str | None], labels: list[int], epochs: int = 24, seed: int = 7) -> Model:
-    """Train on documents and their 0/1 labels; every fourth document only fits the logistic function."""
+class _Net:
+    """The table of subword vectors and the softmax that reads a window's mean."""
+
+    def __init__(self, words: list[str], seed: int):
+        buckets, self.word_starts = subwords(words)
+        self.used, self.compact = np.unique(buckets, return_inverse=True)
+        rng = np.random.default_rng(seed)
+        self.table = (rng.standard_normal((len(self.used), DIMENSIONS)) * 1e-4).astype(np.float32)
+        self.out = rng.standard_normal((DIMENSIONS, 2)).astype(np.float32)
+        self.bias = np.zeros((1, 2), np.float32)
+        self.lengths = np.diff(np.append(self.word_starts, len(self.compact)))
+        self.noise = np.ones((len(self.used), 1), np.float32)
+
+    def expect(self, documents_with: np.ndarray) -> None:
+        """What chance does to the gradient of an n-gram, from the number of documents that hold each word.
+
+        Steps are in these units: neither rare n-grams, which could memorise
+        labels, nor common ones, whose counts differ by chance, outrun those
+        that tell the classes apart.
+        """
+        weights = np.repeat(documents_with, self.lengths)
+        self.noise = np.sqrt(np.bincount(self.compact, weights=weights, minlength=len(self.used)) + 20).astype(np.float32)[:, None]
+
+    def margins(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        per_word = np.add.reduceat((self.table @ (self.out[:, 1] - self.out[:, 0]))[self.compact], self.word_starts) / self.lengths
+        return np.add.reduceat(per_word[ids], starts) / WINDOW + float(self.bias[0, 1] - self.bias[0, 0])
+
+    def descend(self, ids: np.ndarray, starts: np.ndarray, y: np.ndarray, share: np.ndarray, steps: int) -> None:
+        """Momentum steps on windows of words ``ids`` with labels ``y`` that count ``share`` each."""
+        words, ids = np.unique(ids, return_inverse=True)
+        spans = np.repeat(self.word_starts[words] - np.cumsum(self.lengths[words]) + self.lengths[words], self.lengths[words])
+        entries = self.compact[spans + np.arange(len(spans))]
+        by_word = _Groups(entries, np.cumsum(self.lengths[words]) - self.lengths[words], len(self.used))
+        by_window = _Groups(ids, starts, len(words), WINDOW)
+        even = 0.5 / np.maximum(np.bincount(y, weights=share, minlength=2), 1e-9)
+        rate, momentum = 0.0, [np.zeros_like(x) for x in (self.table, self.out, self.bias)]
+        for _ in range(steps):
+            hidden = by_window.mean(by_word.mean(self.table))
+            logits = hidden @ self.out + self.bias
+            p = np.exp(logits - logits.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(y)), y] -= 1
+            g = (p * (share * even[y])[:, None]).astype(np.float32)
+            back = by_word.gradient(by_window.gradient(g @ self.out.T)) / self.noise
+            rate = rate or 1.0 / (np.sqrt((back * back).sum(1).max()) + 1e-12)
+            for x, m, grad, pace in zip((self.table, self.out, self.bias), momentum, (back, hidden.T @ g, g.sum(0, keepdims=True)), (rate, 0.5, 0.5), strict=True):
+                m *= 0.7
+                m += 0.3 * grad
+                x -= pace * m
+
+
+def fit(texts: list[str | None], labels: list[int], toxic_share: float | None = None, rounds: int = 12, seed: int = 7) -> Model:
+    """Train on documents and their 0/1 labels; every fourth document only fits the logistic function.
+
+    ``toxic_share`` is the class's share among all labels, of which the sample may hold another.
+    """
     y_docs = np.array(labels, np.int64)
     if not len(y_docs) or y_docs.min() == y_docs.max():
         return _constant(float(y_docs.mean()) if len(y_docs) else 0.0)
     docs = [words_of(t) or [""] for t in texts]
-    train = [i for i in range(len(docs)) if i % 4] or list(range(len(docs)))
+    train = [i for i in range(len(docs)) if i % 4] if len(docs) >= 16 else list(range(len(docs)))
     vocabulary: dict[str, int] = {}
     ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for i in train for w in docs[i]], np.int64)
     n_words = np.array([len(docs[i]) for i in train])
-    starts, doc_of = [], []
-    for k, (at, n) in enumerate(zip(np.cumsum(n_words) - n_words, n_words, strict=True)):
-        own = np.arange(at, at + n, WINDOW)
-        starts.append(own)
-        doc_of.append(np.full(len(own), k))
-    starts, doc_of = np.concatenate(starts), np.concatenate(doc_of)
-    buckets, word_starts = subwords(list(vocabulary))
-    used, compact = np.unique(buckets, return_inverse=True)
-    by_word, by_window = _Groups(compact, word_starts, len(used)), _Groups(ids, starts, len(vocabulary))
-
-    rng = np.random.default_rng(seed)
-    table = (rng.standard_normal((len(used), DIMENSIONS)) * 0.1).astype(np.float32)
-    out = (rng.standard_normal((DIMENSIONS, 2)) * 0.1).astype(np.float32)
-    bias = np.zeros((1, 2), np.float32)
-    params, state = [table, out, bias], [(np.zeros_like(p), np.zeros_like(p)) for p in (table, out, bias)]
+    windows = -(-n_words // WINDOW)
+    doc_of = np.repeat(np.arange(len(train)), windows)
+    starts = np.repeat(np.cumsum(n_words) - n_words, windows) + WINDOW * (np.arange(len(doc_of)) - np.repeat(np.cumsum(windows) - windows, windows))
+    ends = np.append(starts[1:], len(ids))
+
+    net = _Net(list(vocabulary), seed)
+    pairs = np.unique(np.repeat(np.arange(len(train)), n_words) * np.int64(len(vocabulary)) + ids) % len(vocabulary)
+    net.expect(np.bincount(pairs, minlength=len(vocabulary)))
     y = y_docs[train][doc_of]
-    toxic_doc = y == 1
-    for step in range(1, epochs + 1):
-        hidden = by_window.mean(by_word.mean(table))
-        logits = hidden @ out + bias
-        if step > epochs // 3:
-            # of a toxic document's windows only those near its highest stay toxic
-            margin = logits[:, 1] - logits[:, 0]
-            best = np.full(len(train), -np.inf)
-            np.maximum.at(best, doc_of, margin)
-            y = (toxic_doc & (margin >= best[doc_of] - 0.05)).astype(np.int64)
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        share = np.bincount(y, minlength=2) / len(y)
-        g = p.copy()
-        g[np.arange(len(y)), y] -= 1
-        g *= (0.5 / np.maximum(share, 1e-6))[y][:, None] / len(y)
-        g = g.astype(np.float32)
-        back = by_word.gradient(by_window.gradient(g @ out.T)) + 1e-6 * table
-        _adam(params, state, [back, hidden.T @ g + 1e-5 * out, g.sum(0, keepdims=True)], step, 0.05)
+    net.descend(ids, starts, y, (1.0 / windows)[doc_of].astype(np.float32), 6)  # a document counts once, however long
+    highest: set[int] = set()
+    for _ in range(rounds):
+        order = np.lexsort((net.margins(ids, starts), doc_of))
+        top = order[np.cumsum(windows) - 1]
+        # windows of clean documents that were once highest stay in; a toxic document is its present highest
+        highest |= set(top[y[top] == 0].tolist())
+        chosen = np.array(sorted(highest | set(top[y[top] == 1].tolist())))
+        length = (ends - starts)[chosen]
+        first = np.cumsum(length) - length
+        own = ids[np.repeat(starts[chosen] - first, length) + np.arange(length.sum())]
+        net.descend(own, first, y[chosen], np.ones(len(chosen), np.float32), 20)
     weight = np.zeros(BUCKETS, np.float32)
-    weight[used] = table @ (out[:, 1] - out[:, 0])
-    model = Model(weight, float(bias[0, 1] - bias[0, 0]), 1.0, 0.0)
+    weight[net.used] = net.table @ (net.out[:, 1] - net.out[:, 0])
+    model = Model(weight, float(net.bias[0, 1] - net.bias[0, 0]), 1.0, 0.0)
 
     check = [i for i in range(len(docs)) if not i % 4] if len(train) < len(docs) else train
     if len(set(y_docs[check].tolist())) < 2:
         check = list(range(len(docs)))
     tops = np.array([model.top(model.word_scores(docs[i])) for i in check])
     model.slope, model.shift = _logistic(tops, y_docs[check])
+    if toxic_share and toxic_share < 1:
+        here = y_docs[check].mean()
+        model.shift += float(np.log(toxic_share / (1 - toxic_share)) - np.log(here / (1 - here)))
     return model
 
 
@@ -210,24 +251,25 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(w[1] - slope * centre)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows_a_class: int = ROWS_A_CLASS, longest: int = LONGEST) -> list:
-    """The bounded sample: labelled documents of each class, first by a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows_a_class: int = ROWS_A_CLASS, longest: int = LONGEST) -> tuple[list, float]:
+    """The bounded sample: labelled documents of each class, first by a hash of the id; and the toxic share of all."""
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fits = docs.filter(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= longest).select(F.col(id_col).alias("doc_id"))
     known = known.join(fits, "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [r for c in (0, 1) for r in known.filter(F.col("toxic") == c).orderBy(*order).limit(rows_a_class).collect()]
     if not picked:
-        return []
+        return [], 0.0
+    share = known.agg(F.avg("toxic")).first()[0]
     chosen = docs.sparkSession.createDataFrame(picked, known.schema)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= longest)
     rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    return rows.orderBy(*order).collect()
+    return rows.orderBy(*order).collect(), share
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    rows = training_rows(docs, labels, id_col, text_col)
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    rows, share = training_rows(docs, labels, id_col, text_col)
+    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], share)
 
 
 class Scorer:
