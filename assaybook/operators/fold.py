@@ -62,9 +62,9 @@ def retractions_of_complete_sweeps(revised: DataFrame) -> DataFrame:
     last = crawl.orderBy(F.col("received_at").desc(), F.col("surface").desc(), F.col("arrival_index").desc())
     per_crawl = revised.withColumn("_top", F.max("revision").over(crawl)).withColumn("_r", F.row_number().over(last)).filter("_r = 1")
     following = F.lead("crawl_id").over(Window.partitionBy(*KEY).orderBy("crawl_id"))
-    final = revised.agg(F.max("crawl_id").alias("_last"))
-    gaps = per_crawl.withColumn("_next", following).crossJoin(F.broadcast(final)).withColumn("_next", F.coalesce("_next", F.col("_last") + 1))
-    return gaps.filter((F.col("state") == "active") & (F.col("_next") > F.col("crawl_id") + 1)  & (F.col("crawl_id") < F.col("_last"))).select(*KEY, "resource_id", F.col("_top").cast("long").alias("revision"), (F.col("crawl_id") + 1).alias("crawl_id"))
+    final = revised.agg(F.max("crawl_id")).first()[0] or 0
+    gaps = per_crawl.withColumn("_next", F.coalesce(following, F.lit(final + 1)))
+    return gaps.filter((F.col("state") == "active") & (F.col("_next") > F.col("crawl_id") + 1)).select(*KEY, "resource_id", F.col("_top").cast("long").alias("revision"), (F.col("crawl_id") + 1).alias("crawl_id"))
 
 
 def unchanged(observations: DataFrame) -> DataFrame:
