@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the money contract.
 MAX_BYTES, MAX_DIGITS, MAX_SCALE, MAX_ASSET = 192, 128, 38, 128
@@ -90,7 +91,7 @@ def format_decimal(units: Column, at: Column) -> Column:
     return F.concat(sign, whole, F.when(at > 0, F.concat(F.lit("."), F.right(body, at))).otherwise(F.lit("")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _wide_add(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x, y):
         if x is None or y is None:

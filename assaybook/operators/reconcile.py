@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def content_diff(actual: DataFrame, expected: DataFrame, key: list[str], content: str) -> DataFrame:
@@ -78,7 +79,7 @@ def _value(text) -> str | None:
     return None if not isinstance(text, str) else text.rstrip("0").rstrip(".") if "." in text else text
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def json_diff(actual: pd.Series, expected: pd.Series) -> pd.Series:
     """``json_subset_diff`` over columns of JSON text."""
     return pd.Series([json_subset_diff(json.loads(a, parse_float=str), json.loads(e, parse_float=str)) if a is not None and e is not None else None for a, e in zip(actual, expected, strict=True)])
