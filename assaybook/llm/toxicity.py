@@ -26,6 +26,7 @@ is that class's share (0 without labels); an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +40,7 @@ from assaybook.llm.common import mix64
 ROWS_A_CLASS, LONGEST = 1500, 65_536
 BUCKETS, DIMENSIONS, WINDOW = 1 << 17, 8, 16
 _GRAMS = (3, 4, 5)
+RATE = 1.0
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _TABLE_WORDS, _CHUNK_BYTES = 500_000, 1 << 21
 
@@ -121,7 +123,7 @@ class _Groups:
 
     def __init__(self, of: np.ndarray, starts: np.ndarray, rows: int, over: int = 0):
         self.of, self.starts, self.rows = of, starts, rows
-        length = np.diff(np.append(starts, len(of)))
+        self.length = length = np.diff(np.append(starts, len(of)))
         self.count = np.maximum(length, over).astype(np.float32)[:, None]
         run = np.repeat(np.arange(len(starts)), length)
         order = np.argsort(of, kind="stable")
@@ -148,44 +150,47 @@ class _Net:
         self.out = rng.standard_normal((DIMENSIONS, 2)).astype(np.float32)
         self.bias = np.zeros((1, 2), np.float32)
         self.lengths = np.diff(np.append(self.word_starts, len(self.compact)))
-        self.noise = np.ones((len(self.used), 1), np.float32)
-
-    def expect(self, documents_with: np.ndarray) -> None:
-        """What chance does to the gradient of an n-gram, from the number of documents that hold each word.
-
-        Steps are in these units: neither rare n-grams, which could memorise
-        labels, nor common ones, whose counts differ by chance, outrun those
-        that tell the classes apart.
-        """
-        weights = np.repeat(documents_with, self.lengths)
-        self.noise = np.sqrt(np.bincount(self.compact, weights=weights, minlength=len(self.used)) + 20).astype(np.float32)[:, None]
+        self.step = 0
 
     def margins(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         per_word = np.add.reduceat((self.table @ (self.out[:, 1] - self.out[:, 0]))[self.compact], self.word_starts) / self.lengths
         return np.add.reduceat(per_word[ids], starts) / WINDOW + float(self.bias[0, 1] - self.bias[0, 0])
 
-    def descend(self, ids: np.ndarray, starts: np.ndarray, y: np.ndarray, share: np.ndarray, steps: int) -> None:
-        """Momentum steps on windows of words ``ids`` with labels ``y`` that count ``share`` each."""
+    def descend(self, ids: np.ndarray, starts: np.ndarray, y: np.ndarray, share: np.ndarray, doc: np.ndarray, steps: int) -> None:
+        """Momentum steps on windows of words ``ids`` with labels ``y``, that count ``share`` each in document ``doc``."""
         words, ids = np.unique(ids, return_inverse=True)
-        spans = np.repeat(self.word_starts[words] - np.cumsum(self.lengths[words]) + self.lengths[words], self.lengths[words])
+        lengths = self.lengths[words]
+        spans = np.repeat(self.word_starts[words] - np.cumsum(lengths) + lengths, lengths)
         entries = self.compact[spans + np.arange(len(spans))]
-        by_word = _Groups(entries, np.cumsum(self.lengths[words]) - self.lengths[words], len(self.used))
+        by_word = _Groups(entries, np.cumsum(lengths) - lengths, len(self.used))
         by_window = _Groups(ids, starts, len(words), WINDOW)
         even = 0.5 / np.maximum(np.bincount(y, weights=share, minlength=2), 1e-9)
-        rate, momentum = 0.0, [np.zeros_like(x) for x in (self.table, self.out, self.bias)]
+        # What chance does to an n-gram's gradient. Steps are in these units: neither rare n-grams, which could
+        # memorise labels, nor common ones, whose sums differ by chance, outrun those that tell the classes apart.
+        size = by_window.length
+        pair, at = np.unique(np.repeat(doc, size) * np.int64(len(words)) + ids, return_inverse=True)
+        part = np.bincount(at, weights=np.repeat(share / by_window.count[:, 0], size))
+        square = np.bincount(pair % len(words), weights=part * part, minlength=len(words)) / lengths**2
+        few = 5 * float(np.mean(part * part)) / float(np.mean(lengths)) ** 2
+        noise = np.sqrt(np.bincount(entries, weights=np.repeat(square, lengths), minlength=len(self.used)) + few).astype(np.float32)[:, None]
+        momentum = [np.zeros_like(x) for x in (self.table, self.out, self.bias)]
         for _ in range(steps):
+            self.step += 1
             hidden = by_window.mean(by_word.mean(self.table))
             logits = hidden @ self.out + self.bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
             g = (p * (share * even[y])[:, None]).astype(np.float32)
-            back = by_word.gradient(by_window.gradient(g @ self.out.T)) / self.noise
-            rate = rate or 1.0 / (np.sqrt((back * back).sum(1).max()) + 1e-12)
-            for x, m, grad, pace in zip((self.table, self.out, self.bias), momentum, (back, hidden.T @ g, g.sum(0, keepdims=True)), (rate, 0.5, 0.5), strict=True):
+            grads = (by_word.gradient(by_window.gradient(g @ self.out.T)) / noise, hidden.T @ g, g.sum(0, keepdims=True))
+            for m, grad in zip(momentum, grads, strict=True):
                 m *= 0.7
                 m += 0.3 * grad
-                x -= pace * m
+            # the strongest n-gram moves by a length that shrinks from step to step, all others in proportion
+            pace = RATE / (1 + self.step / 20) / (np.sqrt((momentum[0] ** 2).sum(1).max()) + 1e-12)
+            self.table -= pace * momentum[0]
+            self.out -= 0.5 * momentum[1]
+            self.bias -= 0.5 * momentum[2]
 
 
 def fit(texts: list[str | None], labels: list[int], toxic_share: float | None = None, rounds: int = 12, seed: int = 7) -> Model:
@@ -198,19 +203,21 @@ def fit(texts: list[str | None], labels: list[int], toxic_share: float | None =
         return _constant(float(y_docs.mean()) if len(y_docs) else 0.0)
     docs = [words_of(t) or [""] for t in texts]
     train = [i for i in range(len(docs)) if i % 4] if len(docs) >= 16 else list(range(len(docs)))
-    vocabulary: dict[str, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for i in train for w in docs[i]], np.int64)
+    # words of one document alone tell nothing of others: they keep their places, but no vector is trained for them
+    spread = Counter(w for i in train for w in set(docs[i]))
+    vocabulary = {"": 0}
+    for w in sorted(w for w, n in spread.items() if n > 1):
+        vocabulary.setdefault(w, len(vocabulary))
     n_words = np.array([len(docs[i]) for i in train])
+    ids = np.fromiter((vocabulary.get(w, 0) for i in train for w in docs[i]), np.int32, int(n_words.sum()))
     windows = -(-n_words // WINDOW)
     doc_of = np.repeat(np.arange(len(train)), windows)
     starts = np.repeat(np.cumsum(n_words) - n_words, windows) + WINDOW * (np.arange(len(doc_of)) - np.repeat(np.cumsum(windows) - windows, windows))
     ends = np.append(starts[1:], len(ids))
 
     net = _Net(list(vocabulary), seed)
-    pairs = np.unique(np.repeat(np.arange(len(train)), n_words) * np.int64(len(vocabulary)) + ids) % len(vocabulary)
-    net.expect(np.bincount(pairs, minlength=len(vocabulary)))
     y = y_docs[train][doc_of]
-    net.descend(ids, starts, y, (1.0 / windows)[doc_of].astype(np.float32), 6)  # a document counts once, however long
+    net.descend(ids, starts, y, (1.0 / windows)[doc_of].astype(np.float32), doc_of, 6)  # a document counts once, however long
     highest: set[int] = set()
     for _ in range(rounds):
         order = np.lexsort((net.margins(ids, starts), doc_of))
@@ -221,7 +228,7 @@ def fit(texts: list[str | None], labels: list[int], toxic_share: float | None =
         length = (ends - starts)[chosen]
         first = np.cumsum(length) - length
         own = ids[np.repeat(starts[chosen] - first, length) + np.arange(length.sum())]
-        net.descend(own, first, y[chosen], np.ones(len(chosen), np.float32), 20)
+        net.descend(own, first, y[chosen], np.ones(len(chosen), np.float32), doc_of[chosen], 20)
     weight = np.zeros(BUCKETS, np.float32)
     weight[net.used] = net.table @ (net.out[:, 1] - net.out[:, 0])
     model = Model(weight, float(net.bias[0, 1] - net.bias[0, 0]), 1.0, 0.0)
@@ -233,7 +240,8 @@ def fit(texts: list[str | None], labels: list[int], toxic_share: float | None =
     model.slope, model.shift = _logistic(tops, y_docs[check])
     if toxic_share and toxic_share < 1:
         here = y_docs[check].mean()
-        model.shift += float(np.log(toxic_share / (1 - toxic_share)) - np.log(here / (1 - here)))
+        # half way from the sample's odds to the corpus's: to miss a toxic document is the worse of two errors
+        model.shift += 0.5 * float(np.log(toxic_share / (1 - toxic_share)) - np.log(here / (1 - here)))
     return model
 
 
