@@ -82,18 +82,23 @@ def feistel_text(value: Column, key: str = KEY, tag: str = "text", undo: bool =
     """
     cut = F.floor(F.length(value) / 2).cast("int")
     pair = F.struct(F.substring(value, F.lit(1), cut).alias("a"), F.substring(value, cut + 1, F.length(value)).alias("b"))
-    turns = range(ROUNDS)
-    for turn in reversed(turns) if undo else turns:
+
+    def turned(pair: Column, turn: int) -> Column:
         sign = -1 if undo else 1
         if turn % 2:
-            pair = _bound(pair, lambda p, t=turn: F.struct(_shifted(p["a"], _stream(p["b"], key, tag, t), sign).alias("a"), p["b"].alias("b")))
-        else:
-            pair = _bound(pair, lambda p, t=turn: F.struct(p["a"].alias("a"), _shifted(p["b"], _stream(p["a"], key, tag, t), sign).alias("b")))
+            return _bound(pair, lambda p: F.struct(_shifted(p["a"], _stream(p["b"], key, tag, turn), sign).alias("a"), p["b"].alias("b")))
+        return _bound(pair, lambda p: F.struct(p["a"].alias("a"), _shifted(p["b"], _stream(p["a"], key, tag, turn), sign).alias("b")))
+
+    for turn in reversed(range(ROUNDS)) if undo else range(ROUNDS):
+        pair = turned(pair, turn)
     return _bound(pair, lambda p: F.concat(p["a"], p["b"]))
 
 
 def _bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once: a lambda's variable stands for it."""
+    """``body`` of a value that is computed once: a lambda's variable stands for it.
+
+    ``body`` must have one parameter; a second one, even with a default, would be the element's index.
+    """
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
@@ -102,13 +107,17 @@ def feistel_number(value: Column, bits: int, key: str = KEY, tag: str = "number"
     half = bits // 2
     mask = (1 << half) - 1
     pair = F.struct(F.shiftright(value, half).alias("a"), value.bitwiseAND(mask).alias("b"))
-    f = lambda x, t: F.conv(F.substring(_stream(x.cast("string"), key, tag, t), 1, 8), 16, 10).cast("long").bitwiseAND(mask)
-    turns = range(ROUNDS)
-    for turn in reversed(turns) if undo else turns:
+
+    def drawn(x: Column, turn: int) -> Column:
+        return F.conv(F.substring(_stream(x.cast("string"), key, tag, turn), 1, 8), 16, 10).cast("long").bitwiseAND(mask)
+
+    def turned(pair: Column, turn: int) -> Column:
         if undo:
-            pair = _bound(pair, lambda p, t=turn: F.struct(p["b"].bitwiseXOR(f(p["a"], t)).alias("a"), p["a"].alias("b")))
-        else:
-            pair = _bound(pair, lambda p, t=turn: F.struct(p["b"].alias("a"), p["a"].bitwiseXOR(f(p["b"], t)).alias("b")))
+            return _bound(pair, lambda p: F.struct(p["b"].bitwiseXOR(drawn(p["a"], turn)).alias("a"), p["a"].alias("b")))
+        return _bound(pair, lambda p: F.struct(p["b"].alias("a"), p["a"].bitwiseXOR(drawn(p["b"], turn)).alias("b")))
+
+    for turn in reversed(range(ROUNDS)) if undo else range(ROUNDS):
+        pair = turned(pair, turn)
     return _bound(pair, lambda p: F.shiftleft(p["a"], half) + p["b"])
 
 
@@ -220,9 +229,13 @@ def feistel_hex(value: Column, key: str = KEY) -> Column:
     def one(b: Column) -> Column:
         number = lambda x: F.conv(x, 16, 10).cast("long")
         pair = F.struct(number(F.substring(b, 1, 8)).alias("a"), number(F.substring(b, 9, 8)).alias("b"))
-        f = lambda x, t: number(F.substring(_stream(x.cast("string"), key, "hex", t), 1, 8))
+
+        def turned(pair: Column, turn: int) -> Column:
+            drawn = lambda x: number(F.substring(_stream(x.cast("string"), key, "hex", turn), 1, 8))
+            return _bound(pair, lambda p: F.struct(p["b"].alias("a"), p["a"].bitwiseXOR(drawn(p["b"])).alias("b")))
+
         for turn in range(ROUNDS):
-            pair = _bound(pair, lambda p, t=turn: F.struct(p["b"].alias("a"), p["a"].bitwiseXOR(f(p["b"], t)).alias("b")))
+            pair = turned(pair, turn)
         text = lambda n: F.lower(F.lpad(F.hex(n), 8, "0"))
         return _bound(pair, lambda p: F.concat(text(p["a"]), text(p["b"])))
 
