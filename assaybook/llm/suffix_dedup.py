@@ -128,7 +128,7 @@ class IndexFamily:
         return out
 
     def add(self, ordered: np.ndarray) -> None:
-        """Take in the distinct ascending suffixes of a batch; merge levels of about equal size."""
+        """Take in the new, distinct, ascending suffixes of a batch; merge levels of about equal size."""
         self.levels.append(ordered)
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
             a, b = self.levels.pop(), self.levels.pop()
@@ -151,7 +151,8 @@ class IndexFamily:
         size = np.diff(np.append(heads, len(order)))
         gone = np.empty(len(keys), bool)
         gone[order] = np.repeat(known, size) | (owner[order] > np.repeat(least, size))
-        self.add(ordered[heads])
+        if not known.all():
+            self.add(ordered[heads][~known])
         return gone
 
 

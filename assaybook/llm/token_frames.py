@@ -21,6 +21,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,12 @@ class WordEncoder:
         return b"".join(map(self.runs.__getitem__, filter(None, runs)))
 
 
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """The process's encoder for a tokenizer file: a worker that runs many tasks keeps its table."""
+    return WordEncoder(path)
+
+
 class FrameWriter:
     """Writes documents, in ascending id order, to one token file."""
 
@@ -173,7 +180,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode, end = WordEncoder(tokenizer), struct.pack("<I", end_id)
+        encode, end = word_encoder(tokenizer), struct.pack("<I", end_id)
         first = next(batches, None)
         while first is not None and not first.num_rows:
             first = next(batches, None)

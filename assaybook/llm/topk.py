@@ -19,7 +19,8 @@ partitions meet by query.
 Defined results: vectors that are null or hold a null or non-finite component,
 and rows without an id, take no part; only vectors of equal length are
 compared; rows with the query's id are not its candidates; repeated candidate
-rows each take a rank; ties go to the smaller id; an empty table gives no rows.
+rows each take a rank; ties go to the smaller id; scores beyond 64 bits count as
+the largest or smallest 64-bit number; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -128,7 +129,9 @@ class Queries:
             best = np.lexsort((all_ids, -all_score))[: self.k]
             self.score[n], self.found[n] = all_score[best], all_ids[best]
             if len(best) == self.k:
-                self.floor[n] = float(all_score[best[-1]])
+                # a whole number beyond exact floating point must not round up past itself
+                last = float(all_score[best[-1]])
+                self.floor[n] = last if abs(last) < 1 << 53 else np.nextafter(last, -np.inf)
 
 
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: float = SCALE, round_size: int = ROUND) -> DataFrame:

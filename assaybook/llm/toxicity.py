@@ -66,7 +66,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         gram = np.zeros(len(data), np.uint64)
         for n in range(1, max(_GRAMS) + 1):
             shifted = np.zeros(len(data), np.uint64)
-            shifted[: len(data) - n + 1] = data[n - 1 :]
+            shifted[: max(0, len(data) - n + 1)] = data[n - 1 :]
             gram = gram * np.uint64(257) + shifted + np.uint64(1)
             if n in _GRAMS:
                 fits = left >= n
