@@ -191,10 +191,31 @@ def _by_document(about: list, refs: np.ndarray) -> pa.Table:
     })
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("lengths", pa.binary()), ("strings", pa.binary()), ("copies", pa.binary()), ("tags", pa.binary()), ("at", pa.binary())])
-_SENT_SQL = "bucket int, ids binary, lengths binary, strings binary, copies binary, tags binary, at binary"
-_GONE = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-_GONE_SQL = "doc_id long, tag long, first long, last long"
+_SENT = pa.schema([("bucket", pa.int32()), ("numbers", pa.binary()), ("strings", pa.binary())])
+_SENT_SQL = "bucket int, numbers binary, strings binary"
+_GONE = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("range", pa.int64())])
+_GONE_SQL = "doc_id long, tag long, range long"  # a range of windows: first, shifted by 32 bits, and last
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, each as its bytes by place so that leading zeros stand together, compressed."""
+    parts = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
+    head = np.array([len(a) for a in arrays], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
+
+
+def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    out, at = [], 4 * len(kinds)
+    for n, kind in zip(np.frombuffer(raw, "<u4", len(kinds)).tolist(), kinds, strict=True):
+        size = np.dtype(kind).itemsize
+        places = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(places.T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+_NUMBERS = ("<i8", "<u4", "<u4", "<i8", "<u4")  # ids, lengths, copies of each string; tag and place of each copy
 
 
 class _Outbox:
@@ -220,17 +241,18 @@ class _Outbox:
 
     def flush(self) -> pa.RecordBatch | None:
         """What is held, by bucket; local answers ride along in rows of their own without strings."""
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         by_bucket: dict[int, list] = {}
         for string, (bucket, doc, places) in self.held.items():
             by_bucket.setdefault(bucket, []).append((string, doc, places))
         rows = []
         for bucket, entries in by_bucket.items():
             strings, docs, places = zip(*entries, strict=True)
-            rows.append((bucket, np.array(docs, "<i8").tobytes(), np.array([len(s) for s in strings], "<u4").tobytes(), pack(b"".join(strings)), np.array([len(p) for p in places], "<u4").tobytes(), np.array([t for p in places for t, _ in p], "<i8").tobytes(), np.array([a for p in places for _, a in p], "<u4").tobytes()))
+            numbers = _packed(np.array(docs, "<i8"), np.array([len(s) for s in strings], "<u4"), np.array([len(p) for p in places], "<u4"), np.array([t for p in places for t, _ in p], "<i8"), np.array([a for p in places for _, a in p], "<u4"))
+            rows.append((bucket, numbers, pack(b"".join(strings))))
         if self.local:
             d, t, a, z = zip(*self.local, strict=True)
-            rows.append((hash(d[0]) % self.n, np.array(d, "<i8").tobytes(), b"", b"", np.array(z, "<u4").tobytes(), np.array(t, "<i8").tobytes(), np.array(a, "<u4").tobytes()))
+            rows.append((hash(d[0]) % self.n, _packed(np.array(d, "<i8"), np.zeros(0, "<u4"), np.array(z, "<u4"), np.array(t, "<i8"), np.array(a, "<u4")), b""))
         self.held, self.size, self.local = {}, 0, []
         if not rows:
             return None
@@ -263,12 +285,12 @@ def _answer(table: pa.Table) -> pa.Table:
     """One bucket: strings in ascending order of their ids, batch by batch through an index family."""
     unpack = zstandard.ZstdDecompressor().decompress
     docs, strings, tags, ats, gone = [], [], [], [], []
-    for _, ids, lengths, packed, copies, tag, at in zip(*(table[c].to_pylist() for c in _SENT.names), strict=True):
-        ids, copies, tag, at = np.frombuffer(ids, "<i8"), np.frombuffer(copies, "<u4"), np.frombuffer(tag, "<i8"), np.frombuffer(at, "<u4")
-        if not lengths:
+    for numbers, packed in zip(table["numbers"].to_pylist(), table["strings"].to_pylist(), strict=True):
+        ids, lengths, copies, tag, at = _unpacked(numbers, *_NUMBERS)
+        if not packed:
             gone.append((ids, tag, at.astype(np.int64), copies.astype(np.int64)))
             continue
-        data, ends = unpack(packed), np.cumsum(np.frombuffer(lengths, "<u4"), dtype=np.int64)
+        data, ends = unpack(packed), np.cumsum(lengths, dtype=np.int64)
         strings += [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         docs.append(ids)
         cuts = np.cumsum(copies)[:-1]
@@ -295,7 +317,7 @@ def _answer(table: pa.Table) -> pa.Table:
     if not gone:
         return _GONE.empty_table()
     doc, tag, first, last = (np.concatenate(x) for x in zip(*gone, strict=True))
-    return pa.table({"doc_id": pa.array(doc, mask=doc == _LAST), "tag": tag, "first": first, "last": last}).cast(_GONE)
+    return pa.table({"doc_id": pa.array(doc, mask=doc == _LAST), "tag": tag, "range": first << 32 | last}).cast(_GONE)
 
 
 def _ranges(hit: np.ndarray, batch: list[int], strings: list, docs: np.ndarray, tags: list, ats: list) -> list:
@@ -316,7 +338,7 @@ def _ranges(hit: np.ndarray, batch: list[int], strings: list, docs: np.ndarray,
 
 
 def removed_runs(texts: DataFrame, n_bytes: int) -> DataFrame:
-    """``doc_id, tag, first, last``: ranges of 50-byte windows that go, of rows ``doc_id, tag, text``."""
+    """``doc_id, tag, range``: ranges of 50-byte windows that go, of rows ``doc_id, tag, text``."""
     spark = texts.sparkSession
     shared = find_shared(texts, _gather, buckets_for(spark, n_bytes), _by_document, "doc_id long, tag long, starts binary")
     shared = shared.dropDuplicates(["doc_id", "tag"]).select(F.col("doc_id").alias("i"), F.col("tag").alias("t"), "starts")
@@ -337,19 +359,20 @@ def spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` for every row; ``kept`` are the bytes that stay."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"), F.col(text_col).alias("text"))
-    gone = removed_runs(texts, text_bytes_total(texts, "text")).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("i"), F.col("tag").alias("t"), F.col("gone.first").alias("first"), F.col("gone.last").alias("last"))
-    joined = texts.join(gone, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t")), "left").select("doc_id", "text", "first", "last")
+    gone = removed_runs(texts, text_bytes_total(texts, "text")).groupBy("doc_id", "tag").agg(F.collect_list("range").alias("gone"))
+    gone = gone.select(F.col("doc_id").alias("i"), F.col("tag").alias("t"), "gone")
+    joined = texts.join(gone, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t")), "left").select("doc_id", "text", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size, begin = [], 0, 0
             for n in range(batch.num_rows):
-                data, first = utf8(batch.column(1)[n].as_py()), batch.column(2)[n]
+                data, gone = utf8(batch.column(1)[n].as_py()), batch.column(2)[n]
                 removed = count = 0
                 kept = data
-                if first.is_valid:
-                    a, z = spans(np.asarray(first.values), np.asarray(batch.column(3)[n].values))
+                if gone.is_valid:
+                    ranges = np.asarray(gone.values)
+                    a, z = spans(ranges >> 32, ranges & 0xFFFFFFFF)
                     removed, count = int((z - a).sum()), len(a)
                     kept = b"".join([data[p:q] for p, q in zip([0, *z.tolist()], [*a.tolist(), len(data)], strict=True)])
                 rows.append((len(data), removed, count, hashlib.sha256(kept).hexdigest(), kept))
