@@ -12,7 +12,8 @@ Round function: SHA-256 over key, round number and the other half.
 Kinds, as found from left to right without overlap:
 
 * secrets: ``AKIA`` ids by character class, and hexadecimal strings of 16 or
-  more digits as numbers;
+  more digits as numbers, in either case: the spellings of one number get one
+  pseudonym, whose letters follow the case of the value;
 * e-mail addresses: the local part and the host labels before the last two
   (a two-label host: the first), by character class;
 * IPv4 addresses, every octet 0 to 255: a permutation of all 32-bit numbers;
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 KEY = "assaybook-demo-key"
 ROUNDS = 6
 
-SECRET = r"\bAKIA[0-9A-Z]{16}\b|(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{16,}+(?![0-9A-Za-z])"
+SECRET = r"\bAKIA[0-9A-Z]{16}\b|(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{16,}+(?![0-9A-Za-z])"
 EMAIL = r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 IPV4 = r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?!\.?\d)"
 PHONE = r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
@@ -203,7 +204,7 @@ def date(value: Column, key: str) -> Column:
 def kind_of(value: Column) -> Column:
     """The kind of a value that ``ANY`` found."""
     out = F.when(value.rlike("@"), F.lit("email"))
-    for name, pattern in (("secret", r"^AKIA|[a-f]"), ("ipv4", r"^\d{1,3}(?:\.\d{1,3}){3}$"), ("phone", r"^\+|^\d{3}-\d{3}-\d{4}$"), ("ssn", r"^\d{3}-\d{2}-\d{4}$"), ("date", r"^\d{4}[-/]\d\d[-/]\d\d$|^\d\d\.\d\d\.\d{4}$")):
+    for name, pattern in (("secret", r"^AKIA|[A-Fa-f]"), ("ipv4", r"^\d{1,3}(?:\.\d{1,3}){3}$"), ("phone", r"^\+|^\d{3}-\d{3}-\d{4}$"), ("ssn", r"^\d{3}-\d{2}-\d{4}$"), ("date", r"^\d{4}[-/]\d\d[-/]\d\d$|^\d\d\.\d\d\.\d{4}$")):
         out = out.when(value.rlike(pattern), F.lit(name))
     return out.otherwise(F.lit("card"))
 
@@ -222,6 +223,17 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
 
 
 def feistel_hex(value: Column, key: str = KEY) -> Column:
+    """Permutation of hexadecimal strings as numbers, each letter in the case of the value at its place (at a digit's place, of its first letter)."""
+    first = F.regexp_extract(value, "[A-Fa-f]", 0)
+
+    def cased(new: Column) -> Column:
+        like = lambda c: F.when(c.rlike("[A-F]"), True).when(c.rlike("[a-f]"), False).otherwise(first.rlike("[A-F]"))
+        return F.array_join(F.zip_with(F.split(new, ""), F.split(value, ""), lambda n, c: F.when(like(c), F.upper(n)).otherwise(n)), "")
+
+    return F.when(value.rlike("[A-F]"), _bound(_feistel_lower_hex(F.lower(value), key), cased)).otherwise(_feistel_lower_hex(value, key))
+
+
+def _feistel_lower_hex(value: Column, key: str) -> Column:
     """Permutation of lower-case hexadecimal strings: 16 digits at a time, each half a 32-bit number; what is left by digit class."""
     whole = F.floor(F.length(value) / 16).cast("int")
     block = lambda i: F.substring(value, i * 16 + 1, F.lit(16))

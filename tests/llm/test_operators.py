@@ -80,6 +80,14 @@ def test_pii_keeps_formats_and_links(spark):
         assert m and check(m), (t, a)
 
 
+def test_pii_takes_secrets_in_either_case(spark):
+    low, tail = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "0a1b2c3d4e5f60718"
+    texts = [low, low.upper(), low[:20] + low[20:].upper(), tail, tail.upper()]
+    a, b, mixed, c, d = (r.text for r in pii.pseudonymise(spark.createDataFrame([(i, f"TOKEN = \"{t}\"") for i, t in enumerate(texts)], "i int, text string")).orderBy("i").collect())
+    assert low not in a and low.upper() not in b and tail.upper() not in d
+    assert b == 'TOKEN = "' + a[9:].upper() and d == 'TOKEN = "' + c[9:].upper() and mixed.lower() == a.lower()
+
+
 def test_pii_leaves_the_rest_alone(spark, empty):
     same = [None, "", "4111111111111112", "2023-02-30", "300.1.1.1", "a@b", "version 1.2.3", "x" * 200_000, "12345"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(same)], "i int, text string")
