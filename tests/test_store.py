@@ -37,6 +37,32 @@ def test_partial_crawls_persist_but_never_retract(spark, tmp_path):
     assert store.table("observation").count() == 3 and store.table("retraction").count() == 0
 
 
+SWEEPS = "adapter_id string, resource_id string, violation string, began_at_start boolean, derivation string, fingerprint string, provider_id string, confirm_empty boolean, history_start string"
+PAGES = "adapter_id string, resource_id string, page_no long, outcome string, cursor string, has_page boolean, next string, anonymous_degrade boolean, foreign_provenance boolean, degraded array<struct<local_id: string, bytes: long>>"
+
+
+def test_a_sweep_retracts_in_its_own_resource_alone(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    of = lambda n, r, items: rows(spark, n, items).withColumn("resource_id", F.lit(r))
+    ledger_stream.refresh(store, 1, of(1, "r", [("k1", "h"), ("k2", "h")]).union(of(1, "q", [("q1", "h")])), complete=True)
+    ledger_stream.refresh(store, 2, of(2, "r", [("k1", "h")]), complete=True)
+    assert [r.local_id for r in store.table("retraction").collect()] == ["k2"]
+
+
+def test_the_gate_decides_what_a_crawl_retracts(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    of = lambda n, r, items: rows(spark, n, items).withColumn("resource_id", F.lit(r))
+    first = [of(1, r, [(f"{r}{i}", "h") for i in range(3)]) for r in ("good", "part", "empty", "vant")]
+    sweeps = lambda derivation, provider: spark.createDataFrame([("a", r, None, True, derivation, "f1", provider if r == "vant" else "p", False, None) for r in ("good", "part", "empty", "vant")], SWEEPS)
+    pages = lambda undrained, degraded: spark.createDataFrame([("a", r, 1, "fetched", "exact", True, "more" if r == undrained else None, False, False, degraded if r == "good" else []) for r in ("good", "part", "empty", "vant")], PAGES)
+    ledger_stream.refresh(store, 1, first[0].union(first[1]).union(first[2]).union(first[3]), True, sweeps("v1", "p"), pages("", []))
+    again = of(2, "good", [("good0", "h")]).union(of(2, "part", [("part0", "h")])).union(of(2, "vant", [("vant0", "h")]))
+    ledger_stream.refresh(store, 2, again, True, sweeps("v2", "other"), pages("part", [("good1", 9)]))
+    assert [(r.local_id, r.reason) for r in store.table("retraction").collect()] == [("good2", "derivation_changed")]
+    assert {(r.resource_id, r.kind) for r in store.table("discrepancy").collect()} == {("empty", "empty_sweep"), ("vant", "vantage_changed")}
+    assert {r.resource_id: r.disqualified_reason for r in store.table("crawl").filter("crawl_id = 2").collect()}["part"] == "did not drain to next: null"
+
+
 def test_nothing_shows_before_the_manifest_and_commits_repeat_safely(spark, tmp_path, monkeypatch):
     store = Store(spark, f"file://{tmp_path}/store")
     df = rows(spark, 1, [("k1", "h")])
