@@ -17,11 +17,15 @@ Kinds, as found from left to right without overlap:
 * e-mail addresses: the local part and the host labels before the last two
   (a two-label host: the first), by character class;
 * IPv4 addresses, every octet 0 to 255: a permutation of all 32-bit numbers;
-* telephone numbers in international or ``ddd-ddd-dddd`` form: all digits after
-  the country code;
+* telephone numbers in international form (``+`` and 7 to 15 digits, with or
+  without single separators and parentheses) or ``ddd-ddd-dddd``: all digits
+  after the country code, alike in every layout;
 * social security numbers ``ddd-dd-dddd``: all digits;
-* card numbers of 13 to 19 digits, plain or in groups, with a right check
-  digit: all digits but the last, which is computed anew;
+* card numbers of 13 to 19 digits with a right check digit, plain or in groups
+  with single spaces or hyphens between: all digits but the last, which is
+  computed anew. Among other numbers a card is found plain or in the groups
+  4-4-4-4, 4-6-4, 4-6-5, 4-4-4-4-1 to 4-4-4-4-3; in other groups where they
+  stand alone;
 * dates ``yyyy-mm-dd``, ``yyyy/mm/dd``, ``dd.mm.yyyy`` that are in the calendar,
   1900 to 2099: a permutation of those 73,049 days (cycle walking).
 
@@ -44,11 +48,21 @@ ROUNDS = 6
 SECRET = r"\bAKIA[0-9A-Z]{16}\b|(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[A-Fa-f])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{16,}+(?![0-9A-Za-z])"
 EMAIL = r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 IPV4 = r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?!\.?\d)"
-PHONE = r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
+PHONE = (
+    r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<!\d)\+1[ ./-]?\d{3}[ ./-]?\d{3}[ ./-]?\d{4}(?!\d)"
+    r"|(?<!\d)\+[1-9](?:[ ./-]?\(?\d\)?){6,14}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
+)
+#: E.164 country codes of one or two digits; all others have three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<![\d.])\d(?:\d{12,18}|\d{3}(?:[ -]\d{4}){3})(?![\d]|\.\d)"
 DATE = r"(?<![\d./-])(?:(?:19|20)\d\d([-/])\d\d\1\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\d/-]|\.\d)"
-_KINDS = (("secret", SECRET), ("email", EMAIL), ("ipv4", IPV4), ("phone", PHONE), ("ssn", SSN), ("card", CARD), ("date", DATE.replace(r"\1", r"[-/]")))
+_OTHERS = (("secret", SECRET), ("email", EMAIL), ("ipv4", IPV4), ("phone", PHONE), ("ssn", SSN), ("date", DATE.replace(r"\1", r"[-/]")))
+# a run of digit groups, as long as no group begins a value of another kind
+CARD = r"(?<![\d.])(?=\d(?:[ -]?\d){12})\d++(?!\.\d)(?:[ -](?!" + "|".join(p for _, p in _OTHERS) + r")\d++(?!\.\d))*+"
+_KINDS = (*_OTHERS, ("card", CARD))
+#: The usual layouts of a card number in a run: plain, 4-4-4-4, 4-6-4 and 4-6-5; and then the one of 17 to 19 digits.
+LAYOUT = r"^[ -]?(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d)"
+LONG_LAYOUT = r"^[ -]?\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}(?!\d)"
 ANY = "|".join(f"(?:{p})" for _, p in _KINDS)
 _DAYS = 73_049  # 1900-01-01 to 2099-12-31
 
@@ -163,13 +177,39 @@ def _digits(value: Column) -> Column:
 
 
 def card(value: Column, key: str) -> Column:
-    digits = _digits(value)
+    """A run of digit groups with its card numbers replaced: those in a usual layout, or else the whole run."""
+
+    def permuted(text: Column) -> Column:
+        body = lambda d: feistel_text(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
+        checked = lambda b: F.concat(b, F.pmod(-luhn_sum(b, True), F.lit(10)).cast("string"))
+        return _laid_out(text, _bound(_bound(_digits(text), body), checked))
+
+    valid = lambda text: (F.length(text) > 0) & luhn_valid(F.concat(F.lit("0"), _digits(text)))
+
+    def found(rest: Column) -> Column:
+        short, long = F.regexp_extract(rest, LAYOUT, 0), F.regexp_extract(rest, LONG_LAYOUT, 0)
+        return F.when(valid(short), short).when(valid(long), long).otherwise(F.lit(""))
 
-    def permuted(d: Column) -> Column:
-        body = feistel_text(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
-        return _bound(body, lambda b: F.concat(b, F.pmod(-luhn_sum(b, True), F.lit(10)).cast("string")))
+    def spans(groups: Column) -> Column:
+        """Place and number of groups of each card number, from left to right; ``past`` is the first group after the last."""
 
-    return F.when(luhn_valid(digits), _bound(digits, lambda d: _laid_out(value, permuted(d)))).otherwise(value)
+        def step(s: Column, i: Column) -> Column:
+            size = lambda t: F.size(F.split(t, "(?<=[0-9])[ -]"))
+            take = lambda t: F.when(t == "", s).otherwise(F.struct(F.concat(s["hits"], F.array(F.struct(i.alias("at"), size(t).alias("n")))).alias("hits"), (i + size(t)).alias("past")))
+            return F.when(i < s["past"], s).otherwise(_bound(found(F.array_join(F.slice(groups, i, F.lit(5)), "")), take))
+
+        start = F.struct(F.array().cast("array<struct<at: int, n: int>>").alias("hits"), F.lit(1).alias("past"))
+        alone = F.length(_digits(value)).between(13, 19) & luhn_valid(F.concat(F.lit("0"), _digits(value)))
+        every = F.array(F.struct(F.lit(1).alias("at"), F.size(groups).alias("n")))
+        return _bound(F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step)["hits"], lambda h: F.when((F.size(h) == 0) & alone, every).otherwise(h))
+
+    def rebuilt(groups: Column, hits: Column) -> Column:
+        text = lambda first, past: F.array_join(F.slice(groups, first, past - first), "")
+        end = lambda i: F.coalesce(F.get(hits, i)["at"] + F.get(hits, i)["n"], F.lit(1))
+        parts = F.transform(hits, lambda h, i: F.concat(text(end(i - 1), h["at"]), permuted(text(h["at"], h["at"] + h["n"]))))
+        return F.concat(F.array_join(parts, ""), text(end(F.size(hits) - 1), F.size(groups) + 1))
+
+    return _bound(F.split(value, "(?=[ -])"), lambda g: _bound(spans(g), lambda h: F.when(F.size(h) == 0, value).otherwise(rebuilt(g, h))))
 
 
 def ipv4(value: Column, key: str) -> Column:
@@ -187,9 +227,10 @@ def email(value: Column, key: str) -> Column:
 
 
 def phone(value: Column, key: str) -> Column:
-    code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
-    rest = F.substring(value, F.length(code) + 1, F.length(value))
-    return F.concat(code, _bound(rest, lambda r: _laid_out(r, feistel_text(_digits(r), key, "phone"))))
+    digits = _digits(value)
+    code = F.when(value.startswith("+"), F.regexp_extract(digits, COUNTRY, 0)).otherwise(F.lit(""))
+    rest = F.substring(digits, F.length(code) + 1, F.length(digits))
+    return _laid_out(value, F.concat(code, feistel_text(rest, key, "phone")))
 
 
 def date(value: Column, key: str) -> Column:

@@ -88,6 +88,26 @@ def test_pii_takes_secrets_in_either_case(spark):
     assert b == 'TOKEN = "' + a[9:].upper() and d == 'TOKEN = "' + c[9:].upper() and mixed.lower() == a.lower()
 
 
+def test_pii_takes_phones_and_cards_in_all_layouts(spark):
+    us = ["+1-555-123-4567", "+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "+1.555.123.4567"]
+    abroad = ["+44 20 7946 0958", "+442079460958", "+33 1 23 45 67 89", "+33123456789"]
+    cards = ["3782 822463 10005", "378282246310005", "3782-822463-10005", "4222 222 222 222", "4222222222222", "6304 0000 0000 0000 000"]
+    mixed = ["on 1999-12-31 123-45-6789 4111 1111 1111 1111 12/25", "2023 4111 1111 1111 1111 123", "4111 1111 1111 1111 3782 822463 10005", "1234567890123 5@x.com", "4111 1111 1111 1111", "1999-12-31", "378282246310005", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18", "1 " * 30_000]
+    texts = us + abroad + cards + mixed
+    got = dict(zip(texts, (r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect())))
+    bare = lambda t: re.sub(r"\D", "", got[t])
+    shape = lambda t: re.sub(r"\d", "0", t)
+    for t in us + abroad + cards:
+        assert got[t] != t and shape(got[t]) == shape(t), t
+    assert len({bare(t) for t in us}) == 1 and bare(us[0])[0] == "1"
+    assert bare(abroad[0]) == bare(abroad[1]) and bare(abroad[0])[:2] == "44" and bare(abroad[2]) == bare(abroad[3]) and bare(abroad[2])[:2] == "33"
+    assert all(luhn(bare(t)) for t in cards) and len({bare(t) for t in cards[:3]}) == 1 and bare(cards[3]) == bare(cards[4])
+    card, day = got[mixed[4]], got[mixed[5]]
+    assert got[mixed[0]].startswith(f"on {day} ") and got[mixed[0]].endswith(f" {card} 12/25") and "123-45-6789" not in got[mixed[0]]
+    assert got[mixed[1]] == f"2023 {card} 123" and got[mixed[2]] == f"{card} {got[cards[0]]}" and "5@x.com" not in got[mixed[3]]
+    assert got[mixed[7]] == mixed[7] and got[mixed[8]] == mixed[8]
+
+
 def test_pii_leaves_the_rest_alone(spark, empty):
     same = [None, "", "4111111111111112", "2023-02-30", "300.1.1.1", "a@b", "version 1.2.3", "x" * 200_000, "12345"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(same)], "i int, text string")
