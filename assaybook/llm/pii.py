@@ -308,8 +308,8 @@ def masked(text: Column, key: str = KEY) -> Column:
     between = F.split(text, ANY, -1)
     found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v: pseudonym(v, key))
     joined = F.array_join(F.zip_with(between, F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    # a digit, dot or @ must be near for any kind: the cheap test first
-    return F.when(text.rlike(r"@[A-Za-z0-9]|\d[ ./:-]?\d|AKIA"), joined).otherwise(text)
+    # every kind implies one of these: the cheap test first
+    return F.when(text.rlike(r"@[A-Za-z0-9]|\d[ ./-]?[()]?[ ./-]?[()]?\d|AKIA|[0-9A-Fa-f]{16}"), joined).otherwise(text)
 
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:

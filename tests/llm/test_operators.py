@@ -108,6 +108,12 @@ def test_pii_takes_phones_and_cards_in_all_layouts(spark):
     assert got[mixed[7]] == mixed[7] and got[mixed[8]] == mixed[8]
 
 
+def test_pii_takes_a_secret_without_neighbouring_digits(spark):
+    texts = ["key a1b2c3d4e5f6a7b8c9d0e1f2", "key a1b2c3d4e5f6a7b8c9d0e1f2 of 2023"]
+    a, b = (r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect())
+    assert a != texts[0] and b == f"{a} of 2023"
+
+
 def test_pii_leaves_the_rest_alone(spark, empty):
     same = [None, "", "4111111111111112", "2023-02-30", "300.1.1.1", "a@b", "version 1.2.3", "x" * 200_000, "12345"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(same)], "i int, text string")
