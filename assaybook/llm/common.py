@@ -18,23 +18,69 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Keys that hold more than this part of all rows are few enough to broadcast, whatever the table's size.
+HOT = 256
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """URI of a fresh, not yet created folder that all executors can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """URI of a fresh, not yet created folder that all executors can reach.
+
+    It lies in ``spark.checkpoint.dir`` or the session's checkpoint folder; in
+    local mode, where one process does everything, a temporary folder serves.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base and context.master.split("[")[0] == "local":
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="assaybook-"))
+        base = context.getCheckpointDir()
     if not base:
-        found = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        if not found:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="assaybook-"))
-            found = spark.sparkContext.getCheckpointDir()
-        base = found
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and survives a lost executor."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, bucket_by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here and survives a lost executor.
+
+    ``bucket_by`` lays the rows out by that column's hash, in as many buckets as
+    shuffles have partitions, so that joins on it needn't move them again.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    if bucket_by:
+        table = "bucketed_" + path.rsplit("-", 1)[1]
+        df.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), bucket_by).sortBy(bucket_by).saveAsTable(table)
+        out = spark.table(table)
+        out.schema  # resolved: the folder is known, and its name in the catalog is needed no more
+        spark.sql(f"DROP TABLE {table}")
+    else:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``stored`` that no later plan reads."""
+    for df in tables:
+        spark, at = df.sparkSession, getattr(df, "_stored_at", None)
+        if at:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Equi-join of ``rows`` with ``table``, which has one row a key and in ``weight`` how many of ``rows`` have it.
+
+    A key with more than 1 / ``HOT`` of the rows would make one task long. There
+    are less than ``HOT`` such keys, so they are broadcast; the others are
+    shuffled. ``how`` is inner or left; ``table`` should be stored, it is read twice.
+    """
+    least = (table.agg(F.sum(weight)).first()[0] or 0) / HOT
+    hot, rest = table.filter(F.col(weight) > least).drop(weight), table.filter(F.col(weight) <= least).drop(weight)
+    if hot.isEmpty():
+        return rows.join(rest, keys, how)
+    common = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return common.unionByName(others)
 
 
 def filesystem(uri: str):

@@ -1,44 +1,52 @@
 """N-gram Jaccard self-join by T-occurrence search.
 
 Two documents link when the Jaccard similarity of their sets of five-word
-shingles is 0.75 or more. Equal sets are one class. Then, exactly:
+shingles is 0.75 or more. Equal sets are one class, searched for once. Then, exactly:
 
 1. A fixed half of all shingles (by hash) is tested for occurring in another
    document. A document that links with another lacks at most a quarter of its
    shingles there; if more of its half are found nowhere else, it is out.
 2. Of the documents left, every shingle names its holder with the smallest id,
-   its pivot. A document may forget pivots, rarest first, as long as the
-   forgotten shingles are fewer than half of those it must share; two linked
-   documents keep a pivot in common. Documents meet in the groups of their pivots.
+   its pivot. A document may forget pivots as long as the forgotten shingles
+   are fewer than half of those it must share: those that bring it least for
+   the size of their group. Two linked documents keep a pivot in common.
+   Documents meet in the groups of their pivots.
 3. In a group, inverted lists are searched for documents that occur at least T
    times: short lists are merged, long ones only probed by binary search for
    candidates that can still reach T (DivideSkip). Counts are exact, so the
    similarity is. Pairs already connected are not searched again.
-4. Groups over ``GROUP`` documents are split into chunks, each with the pivot.
-   What a chunk could not connect to the pivot is searched for in all chunks.
+4. Groups over ``GROUP`` documents are split by set size into bands and those
+   into chunks, each with the pivot. Documents that all these searches together
+   could not connect to the pivot are searched for in the chunks of their own
+   band and the two beside it: sets further apart in size can't link.
 
+Keys that hold a large part of all rows (exact copies of one text, the pivot
+of a large group) are looked up by broadcast, see ``common.look_up``.
 Shingles are 64-bit hashes of lower-cased (A-Z) words.
 
 Defined results: null and empty texts and texts of white space have no
 shingles and link with nothing; fewer than five words make one shingle;
 repeated rows and ties link; rows without an id get no component; rows with
-one id are one node; an empty table gives no rows.
+one id are one node, whatever their texts; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assaybook.llm.common import BYTE_VALUE, mix64, stored, text_bytes_total, utf8
+from assaybook.llm.common import BYTE_VALUE, discard, look_up, mix64, stored, text_bytes_total, utf8
 from assaybook.llm.components import components
 from assaybook.llm.shared_keys import buckets_for, find_shared
 
 SIZE, PERCENT, GROUP = 5, 75, 128
+_SLICE = 8 * GROUP  # at most so many documents are searched for in one chunk at once
 _CHUNK = 1 << 21
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -131,7 +139,7 @@ def _in_sample(s: np.ndarray) -> np.ndarray:
     return s[s < np.uint64(3 << 61)]
 
 
-def _must_share(size: int, sampled: int) -> int:
+def _must_share(size, sampled):
     """Of ``sampled`` shingles of a document of ``size``, how many a linked document must hold at least."""
     return sampled - size * (100 - PERCENT) // 100
 
@@ -146,14 +154,15 @@ def described(docs: DataFrame, n_buckets: int) -> DataFrame:
                 sets = shingle_sets(texts)
                 halves = [_in_half(s) for s in sets]
                 number = np.repeat(np.arange(len(sets)), [len(s) for s in halves])
-                about = [(ids[first + i], len(s), len(h), *_set_digest(s)) for i, (s, h) in enumerate(zip(sets, halves, strict=True))]
-                yield np.concatenate(halves), number, number, about, len(about), len(about)
+                d1, d2 = zip(*map(_set_digest, sets), strict=True)
+                columns = (ids[first : first + len(sets)], [len(s) for s in sets], [len(h) for h in halves], d1, d2)
+                about = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "n", "half", "d1", "d2"])
+                yield np.concatenate(halves), number, number, about, len(sets), len(sets)
 
-    def finish(about: list, refs: np.ndarray) -> pa.Table:
+    def finish(about: pa.Table, refs: np.ndarray) -> pa.Table:
         shared = np.bincount(refs.astype(np.int64), minlength=len(about))
-        may = [n > 0 and int(c) >= _must_share(n, half) for (_, n, half, _, _), c in zip(about, shared, strict=True)]
-        ids, n, _, d1, d2 = zip(*about, strict=True)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "d1": pa.array(d1, pa.int64()), "d2": pa.array(d2, pa.int64()), "candidate": pa.array(may, pa.bool_())})
+        n, half = np.asarray(about["n"]), np.asarray(about["half"])
+        return about.drop_columns(["half"]).append_column("candidate", pa.array((n > 0) & (shared >= _must_share(n, half))))
 
     return find_shared(docs, gather, n_buckets, finish, "doc_id long, n long, d1 long, d2 long, candidate boolean")
 
@@ -227,32 +236,51 @@ def _edges(ids: list[int], pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"u": pa.array([ids[a] for a, _ in pairs], pa.int64()), "v": pa.array([ids[b] for _, b in pairs], pa.int64())})
 
 
-def _sets_of(table: pa.Table) -> tuple[list[int], list[np.ndarray]]:
-    ids = table["doc_id"].to_pylist()
-    first = {i: k for k, i in reversed(list(enumerate(ids)))}
-    return list(first), [np.frombuffer(table["shingles"][k].as_buffer(), "<u8") for k in first.values()]
+def _sets_of(table: pa.Table) -> tuple[list[int], list[np.ndarray], Union]:
+    """Ids and sets of a group's rows, equal rows once, with the sets of one id joined."""
+    seen: dict[tuple[int, bytes], None] = {}
+    for i, s in zip(table["doc_id"].to_pylist(), table["shingles"].to_pylist(), strict=True):
+        seen.setdefault((i, s))
+    ids = [i for i, _ in seen]
+    union, first = Union(len(ids)), {}
+    for k, i in enumerate(ids):
+        union.join(k, first.setdefault(i, k))
+    return ids, [np.frombuffer(s, "<u8") for _, s in seen], union
 
 
 def _search_chunk(table: pa.Table) -> pa.Table:
     """Links inside a chunk (with its pivot); a self-link marks a document left apart from the pivot, in a split group."""
-    ids, sets = _sets_of(table)
-    union = Union(len(ids))
-    pairs = t_occurrence(sets, list(range(len(ids))), union)
-    out = _edges(ids, pairs)
-    pivot, chunks = table["pivot"][0].as_py(), table["chunks"][0].as_py()
-    if chunks > 1:
+    pivot, split = table["pivot"][0].as_py(), table["split"][0].as_py()
+    ids, sets, union = _sets_of(table)
+    out = _edges(ids, t_occurrence(sets, list(range(len(ids))), union))
+    if split:
         root = union.find(ids.index(pivot))
-        apart = [(k, k) for k in range(len(ids)) if union.find(k) != root]
-        out = pa.concat_tables([out, _edges(ids, apart)])
-    n = len(out)
-    return out.append_column("pivot", pa.array([pivot] * n, pa.int64())).append_column("chunks", pa.array([chunks] * n, pa.int64()))
+        out = pa.concat_tables([out, _edges(ids, [(k, k) for k in range(len(ids)) if union.find(k) != root])])
+    return out.append_column("pivot", pa.array([pivot] * len(out), pa.int64()))
+
+
+_CONNECTED, _APART, _ASKS = 0, 1, 2  # a document's part in the search for those left apart
 
 
 def _search_apart(table: pa.Table) -> pa.Table:
-    """Links of the documents left apart with those of a chunk."""
-    ids, sets = _sets_of(table.sort_by([("apart", "descending")]))
-    apart = set(table.filter(table["apart"])["doc_id"].to_pylist())
-    return _edges(ids, t_occurrence(sets, [k for k, i in enumerate(ids) if i in apart], Union(len(ids))))
+    """Links of the documents that ask with those of a chunk, of which some are connected with the pivot already."""
+    part: dict[int, int] = {}
+    for i, p in zip(table["doc_id"].to_pylist(), table["part"].to_pylist(), strict=True):
+        part[i] = max(p, part.get(i, p))
+    ids, sets, union = _sets_of(table)
+    at_pivot = [k for k, i in enumerate(ids) if part[i] == _CONNECTED]
+    for k in at_pivot[1:]:
+        union.join(at_pivot[0], k)
+    return _edges(ids, t_occurrence(sets, [k for k, i in enumerate(ids) if part[i] == _ASKS], union))
+
+
+def _band(size: Column) -> Column:
+    """Sets whose similarity can reach the bound differ by one band at most."""
+    return F.floor(F.log(size) / math.log(100 / PERCENT) + 1e-9).cast("int")
+
+
+def _numbers_up_to(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
 
 def links(sets: DataFrame) -> DataFrame:
@@ -273,24 +301,65 @@ def links(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen).view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), n)), pa.array(np.repeat(may, n).astype(np.int32))], ["token", "doc_id", "may"])
 
     rows = sets.select("doc_id", "shingles").mapInArrow(tokens, "token long, doc_id long, may int")
-    pivots = rows.groupBy("token").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last").drop("last")
-    counted = rows.join(pivots, "token").groupBy("doc_id", "may", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    # a document's pivots, rarest first, with the shingles forgotten if all up to here are
-    listed = counted.groupBy("doc_id", "may").agg(F.array_sort(F.collect_list(F.struct("n", "pivot"))).alias("p"))
-    kept = listed.select("doc_id", F.explode(F.aggregate("p", F.struct(F.lit(0).cast("long").alias("lost"), F.array().cast("array<bigint>").alias("kept")), lambda a, x: F.when(a["lost"] + x["n"] <= F.col("may"), F.struct((a["lost"] + x["n"]).alias("lost"), a["kept"].alias("kept"))).otherwise(F.struct(a["lost"].alias("lost"), F.concat(a["kept"], F.array(x["pivot"])).alias("kept"))))["kept"]).alias("pivot"))
-    groups = stored(kept, "jaccard-groups")
-    sizes = groups.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("pivot", F.ceil(F.col("n") / GROUP).cast("long").alias("chunks"))
-    member = groups.join(sizes, "pivot").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
-    member = stored(member, "jaccard-members")
-    # every chunk of a split group has the pivot, too
-    with_pivot = member.union(sizes.filter("chunks > 1").select("pivot", F.col("pivot").alias("doc_id"), "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).select("pivot", "doc_id", "chunks", "chunk"))
-    searched = with_pivot.join(sets, "doc_id").groupBy("pivot", "chunk").applyInArrow(_search_chunk, "u long, v long, pivot long, chunks long")
+    pivots = rows.groupBy("token").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("holders")).filter("pivot < last").drop("last")
+    counted = rows.join(pivots, "token").groupBy("doc_id", "may", "pivot").agg(F.count(F.lit(1)).alias("n"), F.max("holders").alias("holders"))
+    # first the pivots with the fewest shingles for the size of their group: those within the bound are forgotten
+    order = Window.partitionBy("doc_id", "may").orderBy(F.col("n") / (1 + F.col("holders") / GROUP), "pivot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    groups = stored(counted.withColumn("lost", F.sum("n").over(order)).filter("lost > may").select("doc_id", "pivot").distinct(), "jaccard-groups")
+    sizes = stored(groups.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "jaccard-sizes")
+    member = look_up(groups, sizes.withColumn("split", F.col("n") > GROUP), ["pivot"], "n")
+    sized = sets.select("doc_id", (F.octet_length("shingles") / 8).cast("long").alias("size"), "shingles")
+    # one band where a group isn't split; there every id is in the group once, with all its sets
+    member = stored(member.join(sized.groupBy("doc_id").agg(F.collect_set(_band(F.col("size"))).alias("bands")), "doc_id").select("pivot", "doc_id", "split", F.explode(F.when(F.col("split"), F.col("bands")).otherwise(F.array(F.lit(0)))).alias("band")), "jaccard-members")
+    bands = stored(member.groupBy("pivot", "split", "band").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.when(F.col("split"), F.ceil(F.col("n") / GROUP)).otherwise(F.lit(1)).cast("long")), "jaccard-bands")
+    dealt = stored(look_up(member, bands, ["pivot", "split", "band"], "n").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).drop("chunks"), "jaccard-dealt")
+    discard(groups, sizes, member)
+    # every chunk of a split group has the pivot, too: its sets are sent in copies of which each serves a few chunks
+    split = bands.filter("split")
+    hosts = stored(split.groupBy("pivot").agg(F.ceil(F.sum("chunks") / 64).cast("long").alias("copies")), "jaccard-hosts")
+    pivot_sets = hosts.join(sets.withColumnRenamed("doc_id", "pivot"), "pivot").select("pivot", _numbers_up_to(F.col("copies")).alias("copy"), "shingles")
+    in_chunks = split.join(hosts, "pivot").select("pivot", "band", "copies", _numbers_up_to(F.col("chunks")).alias("chunk")).withColumn("copy", F.pmod(F.xxhash64("band", "chunk"), F.col("copies")))
+    in_chunks = in_chunks.join(pivot_sets, ["pivot", "copy"]).select("pivot", F.col("pivot").alias("doc_id"), F.lit(True).alias("split"), "band", "chunk", "shingles")
+    gathered = dealt.join(sets, "doc_id").select("pivot", "doc_id", "split", "band", "chunk", "shingles").unionByName(in_chunks)
+    searched = gathered.groupBy("pivot", "band", "chunk").applyInArrow(_search_chunk, "u long, v long, pivot long")
     searched = stored(searched, "jaccard-links")
-    apart = searched.filter("u = v").select("pivot", F.col("u").alias("doc_id"), "chunks").distinct()
-    sent = apart.select("pivot", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("apart"))
-    where = member.join(apart.select("pivot").distinct(), "pivot", "left_semi").select("pivot", "doc_id", "chunk", F.lit(False).alias("apart"))
-    across = sent.union(where).join(sets, "doc_id").groupBy("pivot", "chunk").applyInArrow(_search_apart, "u long, v long")
-    return searched.filter("u <> v").select("u", "v").union(across)
+    found, apart = searched.filter("u <> v").select("u", "v"), searched.filter("u = v").select("pivot", F.col("u").alias("doc_id")).distinct()
+    if apart.isEmpty():
+        return found
+    # what other groups have connected to the pivot is done; the rest meets all that it may link with
+    labels = components(found)
+    holders = stored(apart.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).join(labels.select(F.col("node").alias("pivot"), F.col("component").alias("root")), "pivot", "left").withColumn("root", F.coalesce("root", "pivot")), "jaccard-roots")
+    left = look_up(apart, holders, ["pivot"], "n").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").filter(F.coalesce("component", "doc_id") != F.col("root")).select("pivot", "doc_id")
+    left = stored(left, "jaccard-apart")
+    own = dealt.filter("split").join(left, ["pivot", "doc_id"], "left_semi")
+    beside = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    reach = own.select("pivot", "doc_id", beside)
+    asked = reach.groupBy("pivot", "band").agg(F.count(F.lit(1)).alias("asking")).withColumn("slices", F.ceil(F.col("asking") / _SLICE).cast("long"))
+    asked = stored(asked.join(split.select("pivot", "band", "chunks", "n"), ["pivot", "band"]), "jaccard-asked")
+    sent = look_up(reach, asked.drop("n"), ["pivot", "band"], "asking").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("slices"))).select("pivot", "doc_id", "band", _numbers_up_to(F.col("chunks")).alias("chunk"), "slice", F.lit(_ASKS).alias("part"))
+    where = look_up(dealt.filter("split"), asked.select("pivot", "band", "slices", "n"), ["pivot", "band"], "n").join(left.withColumn("part", F.lit(_APART)), ["pivot", "doc_id"], "left")
+    where = where.select("pivot", "doc_id", "band", "chunk", _numbers_up_to(F.col("slices")).alias("slice"), F.coalesce("part", F.lit(_CONNECTED)).alias("part"))
+    across = sent.unionByName(where).join(sets, "doc_id").groupBy("pivot", "band", "chunk", "slice").applyInArrow(_search_apart, "u long, v long")
+    return labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(across)
+
+
+def _kept_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, shingles`` of the wanted ``doc_id, d1, d2``; repeated rows of one id, which arrive together, once."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: tuple = ()
+        for batch in batches:
+            for first, texts in _texts(batch):
+                own = batch.slice(first, len(texts))
+                ids, shingles = [], []
+                for i, s, *digest in zip(own.column(0).to_pylist(), shingle_sets(texts), own.column(2).to_pylist(), own.column(3).to_pylist(), strict=True):
+                    if _set_digest(s) == tuple(digest) and (i, *digest) != before:
+                        before = (i, *digest)
+                        ids.append(i)
+                        shingles.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shingles, pa.binary())], ["doc_id", "shingles"])
+
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "d1", "d2").mapInArrow(sets, "doc_id long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,24 +368,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_buckets = buckets_for(docs.sparkSession, text_bytes_total(texts, "text"))
     about = stored(described(texts, n_buckets), "jaccard-sets")
     linkable = about.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = linkable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("least"))
-    copies = linkable.join(classes, ["n", "d1", "d2"])
-    candidates = copies.filter("candidate AND doc_id = least").select("doc_id", "d1", "d2").distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in _texts(batch):
-                found = shingle_sets(texts)
-                own = batch.slice(first, len(texts))
-                same = [_set_digest(s) == (a, b) for s, a, b in zip(found, own.column(2).to_pylist(), own.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([own.column(0).filter(pa.array(same)), pa.array([s.tobytes() for s, ok in zip(found, same, strict=True) if ok], pa.binary())], ["doc_id", "shingles"])
-
-    kept = texts.join(candidates, "doc_id").select("doc_id", "text", "d1", "d2").mapInArrow(sets, "doc_id long, shingles binary")
-    kept = stored(kept, "jaccard-kept")
-    edges = links(kept).union(copies.filter("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v")))
-    found = components(edges)
-    out = about.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    same = ["n", "d1", "d2"]
+    classes = stored(linkable.groupBy(*same).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.bool_or("candidate").alias("candidate")), "jaccard-classes")
+    kept = stored(_kept_sets(texts, classes.filter("candidate").select(F.col("least").alias("doc_id"), "d1", "d2")), "jaccard-kept", "doc_id")
+    # rows of one id with several texts connect their classes
+    several = linkable.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("a"), F.max(F.struct(*same)).alias("z")).filter("a <> z").select("doc_id")
+    by_id = linkable.join(several, "doc_id").select("doc_id", *same).distinct().join(classes, same).select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    found = components(links(kept).unionByName(by_id)).select(F.col("node").alias("least"), "component")
+    discard(kept)
+    # a class of one row that nothing links with is its own component, and needs no look-up
+    named = classes.join(found, "least", "left").select(*same, "copies", F.coalesce("component", "least").alias("component"), (F.col("component").isNotNull() | (F.col("copies") > 1)).alias("told"))
+    named = stored(named.filter("told").drop("told"), "jaccard-named")
+    discard(classes)
+    out = look_up(about, named, same, "copies", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

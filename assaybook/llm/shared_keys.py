@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-ENTRIES_A_BLOCK = 2_000_000
+ENTRIES_A_BLOCK, DOCUMENTS_A_BLOCK = 2_000_000, 100_000
 _LOCAL = np.uint32(0xFFFFFFFF)
 _PROBE, _ANSWER, _ABOUT = 0, 1, 2
 _SCHEMA = "bucket int, block long, kind int, keys binary, refs binary"
@@ -37,27 +37,25 @@ class Block:
     def __init__(self):
         self.keys, self.docs, self.refs, self.about, self.entries, self.n_docs, self.span = [], [], [], [], 0, 0, 0
 
-    def add(self, keys: np.ndarray, docs: np.ndarray, refs: np.ndarray, about: list, n_docs: int, span: int) -> None:
+    def add(self, keys: np.ndarray, docs: np.ndarray, refs: np.ndarray, about: pa.RecordBatch, n_docs: int, span: int) -> None:
         """``docs`` number the documents of this call from 0, ``refs`` lie below ``span`` and are moved behind
-        those of earlier calls; ``about`` is passed through to the answers."""
+        those of earlier calls; ``about``, a row a document, is passed through to the answers."""
         self.keys.append(keys)
         self.docs.append(docs.astype(np.uint32) + np.uint32(self.n_docs))
         self.refs.append(refs.astype(np.uint32) + np.uint32(self.span))
         self.span += span
-        self.about += about
+        self.about.append(about)
         self.n_docs += n_docs
         self.entries += len(keys)
 
     def rows(self, block: int, n_buckets: int) -> pa.RecordBatch:
-        import pickle
-
         keys, docs, refs = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((self.keys, np.uint64), (self.docs, np.uint32), (self.refs, np.uint32)))
         order = np.argsort(keys, kind="stable")
         keys, docs, refs = keys[order], docs[order], refs[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts) if len(keys) else np.zeros(0, bool)
         local = np.repeat(several, np.diff(np.append(starts, len(keys))))
-        out = [(block % n_buckets, block, _ABOUT, pickle.dumps(self.about), b""), (block % n_buckets, block, _ANSWER, b"", np.sort(refs[local]).tobytes())]
+        out = [(block % n_buckets, block, _ABOUT, _as_bytes(self.about), b""), (block % n_buckets, block, _ANSWER, b"", np.sort(refs[local]).tobytes())]
         send = ~local
         send[starts[several]] = True
         refs = np.where(local, _LOCAL, refs)[send]
@@ -71,6 +69,14 @@ class Block:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
+def _as_bytes(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for batch in batches:
+            out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def _packed(refs: np.ndarray) -> bytes:
     """Ascending references as differences of one, two or four bytes."""
     steps = np.diff(refs, prepend=np.uint32(0))
@@ -118,11 +124,11 @@ def _answers(table: pa.Table) -> pa.Table:
     return pa.concat_tables([t.cast(_ARROW) for t in out])
 
 
-def find_shared(docs: DataFrame, gather: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], n_buckets: int, finish: Callable[[list, np.ndarray], pa.Table], schema: str) -> DataFrame:
+def find_shared(docs: DataFrame, gather: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], n_buckets: int, finish: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
     """Run ``gather`` over the rows, find shared entries, and hand each block's to ``finish``.
 
     ``gather(batches)`` yields the arguments of ``Block.add``. ``finish(about, refs)``
-    gets a block's ``about`` list and the ascending references of its shared
+    gets a block's ``about`` table and the ascending references of its shared
     entries, and returns a table with columns as in ``schema``.
     """
 
@@ -132,18 +138,16 @@ def find_shared(docs: DataFrame, gather: Callable[[Iterator[pa.RecordBatch]], It
         number, block = TaskContext.get().partitionId() << 24, Block()
         for part in gather(batches):
             block.add(*part)
-            if block.entries >= ENTRIES_A_BLOCK:
+            if block.entries >= ENTRIES_A_BLOCK or block.n_docs >= DOCUMENTS_A_BLOCK:
                 yield block.rows(number, n_buckets)
                 number, block = number + 1, Block()
         if block.n_docs:
             yield block.rows(number, n_buckets)
 
     def end(table: pa.Table) -> pa.Table:
-        import pickle
-
-        about = [pickle.loads(k) for k, kind in zip(table["keys"].to_pylist(), table["kind"].to_pylist(), strict=True) if kind == _ABOUT]
+        own = next(k for k, kind in enumerate(table["kind"].to_pylist()) if kind == _ABOUT)
         refs = np.sort(np.concatenate([np.frombuffer(r.as_buffer(), "<u4") for r in table["refs"]]))
-        return finish(about[0], refs)
+        return finish(pa.ipc.open_stream(table["keys"][own].as_buffer()).read_all(), refs)
 
     sent = docs.mapInArrow(emit, _SCHEMA)
     told = sent.groupBy("bucket").applyInArrow(_answers, _SCHEMA)

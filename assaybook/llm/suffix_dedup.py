@@ -174,19 +174,20 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for first, texts in _texts(batch, 2):
             owner, key, begin, _ = runs(texts)
             lengths = np.array([len(t) for t in texts])
-            about = [(ids[first + i], tags[first + i], len(t)) for i, t in enumerate(texts)]
+            own = slice(first, first + len(texts))
+            about = pa.record_batch({"doc_id": pa.array(ids[own], pa.int64()), "tag": pa.array(tags[own], pa.int64()), "bytes": pa.array(lengths, pa.int64())})
             yield key, owner, begin + (np.cumsum(lengths) - lengths)[owner], about, len(texts), int(lengths.sum())
 
 
-def _by_document(about: list, refs: np.ndarray) -> pa.Table:
+def _by_document(about: pa.Table, refs: np.ndarray) -> pa.Table:
     """The first windows of each document's shared runs."""
-    lengths = np.array([n for _, _, n in about], np.int64)
+    lengths = np.asarray(about["bytes"])
     first = np.cumsum(lengths) - lengths
     cuts = np.searchsorted(refs, np.append(first, lengths.sum()))
-    has = [k for k in range(len(about)) if cuts[k + 1] > cuts[k]]
+    has = np.flatnonzero(np.diff(cuts))
     return pa.table({
-        "doc_id": pa.array([about[k][0] for k in has], pa.int64()),
-        "tag": pa.array([about[k][1] for k in has], pa.int64()),
+        "doc_id": about["doc_id"].take(pa.array(has)),
+        "tag": about["tag"].take(pa.array(has)),
         "starts": pa.array([(refs[cuts[k] : cuts[k + 1]] - first[k]).astype("<u4").tobytes() for k in has], pa.binary()),
     })
 

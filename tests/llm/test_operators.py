@@ -514,3 +514,12 @@ def test_top_k_reads_less_than_everything():
     for at in range(0, 6000, 2000):
         q.scan(np.arange(at, at + 2000), v[at : at + 2000])
     assert q.resolved < 0.75 * 50 * 6000
+
+
+def test_rows_of_one_id_are_one_node_with_all_their_texts(spark):
+    rng = random.Random(21)
+    a, b = _words(rng, 60), _words(rng, 60)
+    rows = [(5, a), (5, b), (5, a), (6, a + " x"), (7, b + " y"), (8, _words(rng, 60)), (None, a)]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(i, c) for i, _, c in got} == {(i, c) for i, c in linked(rows).items()} | {(None, None)}
+    assert len([1 for i, _, _ in got if i is None]) == 1
