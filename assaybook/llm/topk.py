@@ -1,26 +1,34 @@
 """Exact top-k search by no-random-access aggregation over sorted lists.
 
 Vectors are turned into whole numbers. Of each block of candidates every
-component is a list sorted by value; a query reads the lists from the end that
-its component's sign favours. After reading to some depth, a candidate's score
-has an upper bound (what is unread is at most the list's frontier) and a lower
-bound (at least the list's last value). A candidate whose upper bound is below
-the k-th best lower bound, or below the k-th best final score of earlier
-blocks, cannot qualify; when no outsider can, reading stops and the remaining
-candidates' scores are resolved by reading on for them alone. Bounds of many
-queries and candidates are taken at once: the upper bounds are the product of
-the queries' positive parts with the block clipped from below at its frontier,
-plus that of the negative parts with the block clipped from above.
+component is a list of (value, candidate) entries sorted by value; a query reads
+each list entry by entry from the end that its component's sign favours. What
+it has read of a candidate adds up; what it hasn't is at most the list's
+frontier (the last value read) and at least the list's other end, which gives
+the score's upper and lower bound. A candidate whose upper bound is below the
+k-th best lower bound, or below the k-th best final score of earlier blocks,
+cannot qualify, nor can one that no list has shown yet once the sum of the
+frontiers is below. When few candidates are left, reading stops and their
+scores are resolved.
+
+Many queries read together, to one of ``_DEPTHS`` after the other: the entries
+read go to their candidates' places in a matrix that is zero elsewhere, and its
+product with the queries gives the sums of all of them. ``Queries.read``
+counts the entries that the queries have read and ``Queries.listed`` those there
+were. Vectors of many components without structure are the hard case: most of
+their lists must be read before the bounds part.
 
 Queries are sent in rounds of at most ``ROUND`` to every partition of the
-candidates; each partition returns k rows a query at most, and the rows of all
-partitions meet by query.
+candidates, one round's broadcast at a time; each partition returns k rows a
+query at most, the rows of all partitions meet by query, and the round's
+result is written.
 
 Defined results: vectors that are null or hold a null or non-finite component,
 and rows without an id, take no part; only vectors of equal length are
 compared; rows with the query's id are not its candidates; repeated candidate
-rows each take a rank; ties go to the smaller id; scores beyond 64 bits count as
-the largest or smallest 64-bit number; an empty table gives no rows.
+rows each take a rank; equal query rows give one list; ties go to the smaller
+id; scores beyond 64 bits count as the largest or smallest 64-bit number; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,9 +40,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assaybook.llm.common import stored
+
 K, SCALE, QUERY_EVERY = 20, 64, 20
-BLOCK, ROUND, _CHUNK = 4096, 4096, 256
-_DEPTHS = (0.125, 0.5)
+BLOCK, ROUND, _SEED, _CHUNK = 4096, 4096, 256, 128
+_DEPTHS = (1 / 8, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 1)  # parts of the lists after which bounds are compared
+_FEW = 0.1  # reading stops for a query when at most this part of a block is left
 
 
 def whole_vectors(batch: pa.RecordBatch, scale: float = SCALE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -65,63 +76,82 @@ class Queries:
         self.score = [np.zeros(0)] * len(ids)
         self.found = [np.zeros(0, np.int64)] * len(ids)
         self.floor = np.full(len(ids), -np.inf)
-        self.read = self.resolved = 0
+        self.stopped = np.zeros(len(ids), np.int64)  # which of _DEPTHS each query read to in the block before
+        self.read = self.listed = self.resolved = self.scanned = 0
 
     def scan(self, ids: np.ndarray, block: np.ndarray) -> None:
         """Let a block of candidates take part."""
+        self.scanned += len(ids)
         reach = self.largest * float(np.abs(block).max(initial=0)) * max(1, block.shape[1])
-        kind = np.float32 if reach < 1 << 24 else np.float64 if reach < 1 << 53 else object
-        lists = np.sort(block, axis=0)
-        x = block.astype(kind)
+        kind = np.float32 if reach < 1 << 24 else np.float64
+        # whole numbers beyond exact floating point: bounds give way by more than their error
+        slack = 0.0 if reach < 1 << 53 else reach * 2.0**-40
+        order = np.argsort(block, axis=0, kind="stable")
+        values = np.take_along_axis(block, order, axis=0).astype(kind)
         for at in range(0, len(self.ids), _CHUNK):
-            part = slice(at, at + _CHUNK)
-            q = self.vectors[part].astype(kind)
-            if kind is object:
-                # beyond exact floating point there is no bound worth computing: read to the end in whole numbers
-                ints = lambda a: np.array([[int(v) for v in r] for r in a], dtype=object).reshape(a.shape)
-                alive = np.ones((len(q), len(x)), bool)
-                final = (ints(self.vectors[part]) @ ints(block).T).clip(-(1 << 63), (1 << 63) - 1)
-            else:
-                alive, final = self._read(part, q, x, lists.astype(kind)), None
-            self._resolve(part, ids, q, x, alive, final)
-
-    def _read(self, part: slice, q: np.ndarray, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        """Read the lists to growing depths; which candidates may still qualify."""
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        alive = np.ones((len(q), len(x)), bool)
-        open_ = np.arange(len(q))
-        for depth in _DEPTHS:
-            rank = min(len(x) - 1, int(depth * len(x)))
-            high, low = lists[len(x) - 1 - rank], lists[rank]
-            upper = up[open_] @ np.maximum(x, high).T + down[open_] @ np.minimum(x, low).T
+            part = slice(at, min(at + _CHUNK, len(self.ids)))
+            alive = self._read(part, ids, order, values, slack)
+            self._resolve(part, ids, block, alive, reach < 1 << 53)
+
+    def _read(self, part: slice, ids: np.ndarray, order: np.ndarray, values: np.ndarray, slack: float) -> np.ndarray:
+        """Read the lists until few candidates are left; which may still qualify, a row each and a column for each query."""
+        q = self.vectors[part].astype(values.dtype).T
+        n, lists = values.shape
+        up, down, own = np.maximum(q, 0), np.minimum(q, 0), ids[:, None] == self.ids[part][None, :]
+        out = np.ones((n, q.shape[1]), bool)
+        open_ = np.arange(q.shape[1])
+        # what has been read from the lists' upper and lower ends: values, and marks where there are any
+        ends = [(np.zeros((n, lists), values.dtype), np.zeros((n, lists), values.dtype)) for _ in range(2)]
+        self.listed += n * lists * len(open_)
+        depth, list_of = 0, np.arange(lists)
+
+        def bound(above: np.ndarray, below: np.ndarray) -> np.ndarray:
+            """Sums of what has been read, and for the rest one value a list."""
+            rest = above @ up + below @ down
+            return (ends[0][0] - ends[0][1] * above) @ up + (ends[1][0] - ends[1][1] * below) @ down + rest
+
+        # bounds needn't be compared long before the depth at which the block before was settled
+        first = max(0, int(self.stopped[part].min()) - 1)
+        for turn in range(first, len(_DEPTHS)):
+            to = max(1, int(n * _DEPTHS[turn]))
+            if to == depth:
+                continue
+            for side, (seen, mark) in zip((slice(n - to, n - depth), slice(depth, to)), ends, strict=True):
+                seen[order[side], list_of] = values[side]
+                mark[order[side], list_of] = 1
+            self.read += (to - depth) * lists * len(open_)
+            depth = to
+            upper = bound(values[n - depth], values[depth - 1])  # the frontiers
             limit = self.floor[part][open_]
-            if np.isinf(limit).any() and len(x) > self.k:
-                seen_high, seen_low = np.where(x >= high, x, lists[0]), np.where(x <= low, x, lists[-1])
-                lower = up[open_] @ seen_high.T + down[open_] @ seen_low.T
-                # the query's own row may be among them: one more place
-                place = min(len(x) - 1, self.k)
-                limit = np.maximum(limit, -np.partition(-lower, place, axis=1)[:, place])
-            alive[open_] &= upper >= limit[:, None]
-            self.read += upper.size
-            # stop for queries of which few candidates are left: reading on for those alone is cheaper
-            open_ = open_[alive[open_].sum(1) > 0.02 * len(x)]
-            if not len(open_):
+            if np.isinf(limit).any() and n > self.k:
+                lower = bound(values[0], values[-1])  # the other ends
+                lower[own[:, open_]] = -np.inf
+                limit = np.maximum(limit, -np.partition(-lower, self.k - 1, axis=0)[self.k - 1])
+            alive = upper >= limit - slack
+            out[:, open_] = alive
+            self.stopped[part.start + open_] = turn
+            more = alive.sum(0) > max(self.k, _FEW * n)
+            if not more.any():
                 break
-        return alive
-
-    def _resolve(self, part: slice, ids: np.ndarray, q: np.ndarray, x: np.ndarray, alive: np.ndarray, final) -> None:
-        alive &= self.ids[part][:, None] != ids[None, :]
-        qi, ci = np.nonzero(alive)
-        if final is not None:
-            score = final[qi, ci]
-        elif len(qi) > 0.2 * alive.size:
-            score = (q @ x.T)[qi, ci]
+            if not more.all():
+                open_, up, down = open_[more], up[:, more], down[:, more]
+        return out & ~own
+
+    def _resolve(self, part: slice, ids: np.ndarray, block: np.ndarray, alive: np.ndarray, exact: bool) -> None:
+        """Final scores of the candidates left, and each query's best so far."""
+        qi, ci = np.nonzero(alive.T)
+        q = self.vectors[part]
+        spans = [slice(s, s + 65536) for s in range(0, len(qi), 65536)]
+        if exact:
+            score = np.concatenate([np.einsum("ij,ij->i", q[qi[s]], block[ci[s]]) for s in spans] or [np.zeros(0)])
         else:
-            score = np.concatenate([np.einsum("ij,ij->i", q[qi[s : s + 65536]], x[ci[s : s + 65536]]) for s in range(0, len(qi), 65536)] or [np.zeros(0)])
+            whole = lambda a: np.array([[int(v) for v in r] for r in a], dtype=object).reshape(a.shape)
+            ints, theirs = whole(q), whole(block)
+            score = np.concatenate([(ints[qi[s]] * theirs[ci[s]]).sum(1) for s in spans] or [np.zeros(0, object)]).clip(-(1 << 63), (1 << 63) - 1)
         self.resolved += len(qi)
         keep = score >= self.floor[part][qi]
         qi, score, own = qi[keep], score[keep], ids[ci[keep]]
-        bounds = np.searchsorted(qi, np.arange(alive.shape[0] + 1))
+        bounds = np.searchsorted(qi, np.arange(len(q) + 1))
         for k in np.flatnonzero(np.diff(bounds)):
             s = slice(bounds[k], bounds[k + 1])
             n = part.start + k
@@ -170,18 +200,24 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
                         ["q", "query_id", "vec_id", "score"],
                     )
 
-        parts.append(rows.mapInArrow(run, "q long, query_id long, vec_id long, score long").withColumn("turn", F.lit(turn)))
+        order = Window.partitionBy("query_id", "q").orderBy(F.col("score").desc(), F.col("vec_id").asc())
+        best = rows.mapInArrow(run, "q long, query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        parts.append(stored(best.select("query_id", "rank", "vec_id", "score"), "topk-round"))
+        sent.destroy()
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    order = Window.partitionBy("query_id", "q", "turn").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return every
 
 
 def _scan(state: Queries, blocks: list) -> None:
+    """A partition's first blocks are small: their best scores are what later ones are held against."""
     ids, v = np.concatenate([i for i, _ in blocks]), np.concatenate([x for _, x in blocks])
-    for at in range(0, len(ids), BLOCK):
-        state.scan(ids[at : at + BLOCK], v[at : at + BLOCK])
+    at = 0
+    while at < len(ids):
+        size = min(BLOCK, max(_SEED, 3 * state.scanned))
+        state.scan(ids[at : at + size], v[at : at + size])
+        at += size
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
