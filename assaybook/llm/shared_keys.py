@@ -55,7 +55,7 @@ class Block:
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts) if len(keys) else np.zeros(0, bool)
         local = np.repeat(several, np.diff(np.append(starts, len(keys))))
-        out = [(block % n_buckets, block, _ABOUT, _as_bytes(self.about), b""), (block % n_buckets, block, _ANSWER, b"", np.sort(refs[local]).tobytes())]
+        out = [(block % n_buckets, block, _ABOUT, as_bytes(self.about), b""), (block % n_buckets, block, _ANSWER, b"", np.sort(refs[local]).tobytes())]
         send = ~local
         send[starts[several]] = True
         refs = np.where(local, _LOCAL, refs)[send]
@@ -69,7 +69,7 @@ class Block:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-def _as_bytes(batches: list[pa.RecordBatch]) -> bytes:
+def as_bytes(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batches[0].schema) as out:
         for batch in batches:

@@ -470,22 +470,36 @@ def test_audio_query(spark, docs, empty):
 @settings(max_examples=300, deadline=None)
 @given(ODD.map(lambda t: t.replace("!", "▁ ")))
 def test_pieces_equal_the_library(text):
-    global _coder
-    _coder = globals().get("_coder") or pieces.ChunkEncoder(tok.path("piece_bpe_32k.model"), most=200)
-    assert _coder.by_chunk and _coder.encode(text) == _coder.model.encode(text)
+    coder = pieces.chunk_coder(tok.path("piece_bpe_32k.model"))
+    ids = coder.model.encode(text)
+    by_chunk = coder.segmented(coder.split(text))
+    assert coder.by_chunk and [i for own in by_chunk for i in own] == ids
+    assert coder.joined(coder.decoded(by_chunk)) == (coder.model.decode(ids) if ids else "")
 
 
-def test_pieces_query(spark, docs, empty):
+def _plain_pieces(rows):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=tok.path("piece_bpe_32k.model"))
-    got = pieces.encode_decode(docs.select("doc_id", "text"), tok.path("piece_bpe_32k.model")).collect()
-    want = []
-    for i, t in rows_of(docs):
+    for i, t in rows:
         ids = sp.encode(t or "")
-        want.append((str(i), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode() if ids else b"").hexdigest()))
+        yield (str(i), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode() if ids else b"").hexdigest())
+
+
+def test_pieces_query(spark, docs, empty, monkeypatch):
+    model = tok.path("piece_bpe_32k.model")
+    clash = docs.withColumnRenamed("size", "n_tokens").withColumnRenamed("h", "ids")
+    got = pieces.with_digests(pieces.encode(clash, model)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(_plain_pieces(rows_of(docs)))
+    assert sorted(str(r.source) for r in got) == sorted(str(r.source) for r in docs.collect())
+    assert pieces.encode(empty, model).count() == 0
+
+
+def test_pieces_of_the_documents_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "DOCUMENTS_A_BLOCK", 7)
+    got = pieces.op9_pieces(spark, SF).collect()
+    want = _plain_pieces(rows_of(spark.read.parquet(f"{SF}/documents.parquet")))
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
-    assert pieces.encode_decode(empty.select("doc_id", "text"), tok.path("piece_bpe_32k.model")).count() == 0
 
 
 # 10 --------------------------------------------------------------------------------------------------------------
