@@ -6,7 +6,8 @@ return the columns of ``documents``.
 
 * toxicity: documents that the classifier marks go; labels come from ``sf_dir``.
 * near duplicates: of each group linked by five-word shingles, the document
-  with the smallest id stays; documents without an id stay.
+  with the smallest id stays, of repeated rows of that id one; documents
+  without an id stay.
 * personal data: values are replaced by pseudonyms, ``n_chars`` follows.
 * mixing: each document stands as often as the mix takes it.
 * token ids: SentencePiece ids of each text and their decoding, as digests.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaybook.llm import jaccard_join, mixing, pieces, pii, toxicity
-from assaybook.llm.common import shared_dir
+from assaybook.llm.common import shared_dir, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = jaccard_join.near_duplicates(docs).filter("doc_id IS NOT NULL")
+    found = stored(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).filter("doc_id <> component_id OR rows > 1"), "pipeline-repeats")
+    others = docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.filter("doc_id = component_id").select("doc_id")
+    if repeated.isEmpty():
+        return others
+    # of several rows with the id that stays, that with the first text
+    rows = docs.join(repeated, "doc_id").select(*docs.columns)
+    return others.unionByName(rows.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("r")).select("r.*"))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pieces.encode_decode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.with_digests(pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "source"]))
 
 
 STAGES = [
