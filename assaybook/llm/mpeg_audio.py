@@ -7,13 +7,16 @@ information is silent and whose main data are the payload's bytes. Bitrates
 are chosen frame by frame, the smallest that holds what is left.
 
 The parser works on any Layer I to III stream: it skips ID3 tags, looks for
-two consistent frame headers in a row to synchronise, resynchronises after
-damage, reads ``Xing``/``Info`` and ``VBRI`` headers, verifies the frames'
-CRC-16, and reports exact durations (samples over rate, as a fraction) and the
-byte offset of every frame for seeking.
+two consistent frame headers in a row to synchronise, at the start and again
+after damage (a last frame must end where the stream does), reads
+``Xing``/``Info`` and ``VBRI`` headers, verifies the CRC-16 of Layer I and III
+frames (that of Layer II covers a part whose length needs its allocation
+tables: such frames are counted as unchecked), and reports exact durations
+(samples over rate, as a fraction) and the byte offset of every frame for seeking.
 
 Null texts are empty; an empty text is one block of 64 zero bytes; equal texts
-give equal media; an empty table gives no rows.
+give equal media; rows without an id keep none, repeated rows are treated
+alike, other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaybook.llm.common import utf8
+from assaybook.llm.common import stored, utf8
 
 # Fixed values of the MPEG audio standards: kbit/s by version and layer, Hz by version.
 BITRATES = {
@@ -74,7 +77,17 @@ class Header:
     bitrate: int
     rate: int
     padded: bool
-    mono: bool
+    mode: int
+    extension: int
+
+    @property
+    def mono(self) -> bool:
+        return self.mode == 3
+
+    @property
+    def kind(self) -> tuple:
+        """What all frames of a stream have in common."""
+        return self.version, self.layer, self.rate
 
     @property
     def samples(self) -> int:
@@ -93,6 +106,15 @@ class Header:
             return 0
         return (17 if self.mono else 32) if self.version == 1 else (9 if self.mono else 17)
 
+    @property
+    def checked(self) -> int | None:
+        """Bytes after the check word that it covers; None for Layer II."""
+        if self.layer == 1:
+            # four bits of allocation a subband and channel; in joint stereo, one for both from the bound on
+            bound = 4 * (self.extension + 1) if self.mode == 1 else 32
+            return 16 if self.mono else (bound * 8 + (32 - bound) * 4) // 8
+        return self.side if self.layer == 3 else None
+
 
 def parse_header(word: bytes) -> Header | None:
     """The header in four bytes, or None: no sync, a reserved value, or free format."""
@@ -102,7 +124,7 @@ def parse_header(word: bytes) -> Header | None:
     bitrate, rate = word[2] >> 4, word[2] >> 2 & 3
     if version is None or layer == 4 or bitrate in (0, 15) or rate == 3 or word[3] & 3 == 2:
         return None
-    return Header(version, layer, not word[1] & 1, BITRATES[1 if version == 1 else 2, layer][bitrate - 1], RATES[version][rate], bool(word[2] & 2), word[3] >> 6 == 3)
+    return Header(version, layer, not word[1] & 1, BITRATES[1 if version == 1 else 2, layer][bitrate - 1], RATES[version][rate], bool(word[2] & 2), word[3] >> 6, word[3] >> 4 & 3)
 
 
 @dataclass
@@ -112,6 +134,7 @@ class Parsed:
     headers: list[Header] = field(default_factory=list)
     vbr: dict | None = None
     bad_crc: int = 0
+    unchecked: int = 0
     resyncs: int = 0
     skipped: int = 0
 
@@ -177,14 +200,16 @@ def parse(data: bytes) -> Parsed:
     end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
     if end != len(data):
         out.tags["ID3v1"] = data[-125:-95].split(b"\0")[0].decode("latin-1")
-    synced, like = True, None
+    synced, like = False, None
     while at + 4 <= end:
         h = parse_header(data[at : at + 4])
-        good = h is not None and at + h.size <= end and (like is None or (h.version, h.layer, h.rate) == like)
-        if good and not synced and at + h.size + 4 <= end:
-            # out of step: believe a header only if another of its kind stands where it says
-            follow = parse_header(data[at + h.size : at + h.size + 4])
-            good = follow is not None and (follow.version, follow.layer, follow.rate) == (h.version, h.layer, h.rate)
+        good = h is not None and at + h.size <= end
+        if good and synced:
+            good = h.kind == like
+        elif good:
+            # out of step: believe a header only if another of its kind stands where it says, or the stream ends there
+            follow = parse_header(data[at + h.size : min(at + h.size + 4, end)])
+            good = follow.kind == h.kind if follow else at + h.size == end and like in (None, h.kind)
         if not good:
             out.resyncs += synced
             synced = False
@@ -192,9 +217,11 @@ def parse(data: bytes) -> Parsed:
             out.skipped += (step if step >= 0 else end) - at
             at = step if step >= 0 else end
             continue
-        synced, like = True, (h.version, h.layer, h.rate)
-        if h.protected and h.layer == 3:
-            out.bad_crc += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != struct.unpack(">H", data[at + 4 : at + 6])[0]
+        synced, like = True, h.kind
+        if h.protected and h.checked is None:
+            out.unchecked += 1
+        elif h.protected:
+            out.bad_crc += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.checked]) != struct.unpack(">H", data[at + 4 : at + 6])[0]
         table = _vbr(data[at : at + h.size], h) if not out.headers and out.vbr is None else None
         if table:
             out.vbr = table
@@ -305,4 +332,6 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("seek_offsets")
+    """The media column is written to the shared folder and read back."""
+    media = stored(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    return media_features(media).drop("seek_offsets")

@@ -457,13 +457,54 @@ def test_audio_parser_resynchronises_and_checks():
     assert mpeg_audio.parse(b"").offsets == []
 
 
+def test_audio_parser_starts_at_two_consistent_headers():
+    payload, n = mpeg_audio.padded("abc " * 3000)
+    media = mpeg_audio.write(payload, n)
+    frames = mpeg_audio.parse(media).offsets
+    assert mpeg_audio.parse(b"\xff\xfb\x90\x00" + media[frames[0] :]).offsets == [o - frames[0] + 4 for o in frames]
+    other = b"\xff\xf3\x40\x00"  # another version and rate: 144 bytes a frame
+    size = mpeg_audio.parse_header(other).size
+    mixed = mpeg_audio.parse(media[frames[0] :] + b"junk" + 3 * other.ljust(size, b"\0"))
+    assert len(mixed.offsets) == len(frames) + 3 and mixed.resyncs == 1
+    # Layer I, joint stereo: the check word covers the allocation of all subbands up to the bound twice, then once
+    head = b"\xff\xfe\x10\x50"
+    h = mpeg_audio.parse_header(head)
+    assert (h.layer, h.protected, h.checked, h.size) == (1, True, 20, 32_000 * 12 // 44_100 * 4)
+    body = bytes(range(h.size - 6))
+    frame = head + mpeg_audio.crc16(head[2:] + body[:20]).to_bytes(2, "big") + body
+    assert mpeg_audio.parse(frame * 3).bad_crc == 0 and mpeg_audio.parse(frame * 2 + frame[:8] + b"x" + frame[9:]).bad_crc == 1
+
+
+def _plain_feature(media):
+    """The feature of a stream of the writer's kind, by walking its frames."""
+    at, offsets, sizes = 10 + int.from_bytes(bytes(media[6:10]), "big") % 128 + (media[8] << 7) + (media[7] << 14), [], []
+    while at < len(media):
+        kbit = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)[media[at + 2] >> 4]
+        offsets.append(at)
+        sizes.append(3 * kbit)
+        at += sizes[-1]
+    offsets, sizes = offsets[1:], sizes[1:]  # the first holds the table
+    n, packed = len(offsets), b"".join(o.to_bytes(8, "little") for o in offsets)
+    from fractions import Fraction
+
+    seconds = Fraction(24 * n, 1000)
+    return f"seconds={seconds.numerator}/{seconds.denominator};frames={n};bitrate={int(8 * sum(sizes) / seconds)};seek={zlib.crc32(packed):08x};vbr=Xing"
+
+
 def test_audio_query(spark, docs, empty):
-    got = mpeg_audio.media_features(mpeg_audio.store_media(docs)).collect()
-    want = sorted((str(i), n, hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) for i, t in rows_of(docs) for p, n in [mpeg_audio.padded(t)])
-    assert sorted((str(r.doc_id), r.n_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+    made = mpeg_audio.store_media(docs)
+    got = mpeg_audio.media_features(made).collect()
+    plain = [(str(i), n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), mpeg_audio.write(p, n)) for i, t in rows_of(docs) for p, n in [mpeg_audio.padded(t)]]
+    want = sorted((*r[:-1], len(r[-1]), hashlib.sha256(r[-1]).hexdigest(), _plain_feature(r[-1])) for r in plain)
+    assert sorted((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in got) == want
     assert mpeg_audio.media_features(mpeg_audio.store_media(empty)).count() == 0
 
 
+def test_audio_of_the_documents(spark):
+    got = {(r.doc_id, r.n_bytes, r.payload_sha256) for r in mpeg_audio.op8_media(spark, SF).collect()}
+    assert got == {(i, n, hashlib.sha256(p).hexdigest()) for i, t in rows_of(spark.read.parquet(f"{SF}/documents.parquet")) for p, n in [mpeg_audio.padded(t)]}
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 
