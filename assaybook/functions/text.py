@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assaybook.functions.rfc3339 import valid
+
 FORBIDDEN = r"[\x00-\x08\x0A-\x1F\x7F<>]"
 MAX_OBSERVATION, MAX_FRAME = 65_536, 1_048_576
 
@@ -36,7 +38,8 @@ def is_txid(s: Column) -> Column:
     return s.rlike(r"\A[0-9a-f]{64}\z")
 
 
-CURSOR = r"\A(0|[1-9][0-9]*):([0-9a-f]{64})(?::m:([0-9a-f]{64}))?\z"
+CURSOR = r"\A\+?([0-9]+):((?:[0-9a-f]{64})?)(?::m:([0-9a-f]{64}))?\z"
+_MOST_HEIGHT = (1 << 64) - 1
 
 
 def cursor_encode(height: Column, txid: Column, mempool: Column | None = None) -> Column:
@@ -45,9 +48,11 @@ def cursor_encode(height: Column, txid: Column, mempool: Column | None = None) -
 
 
 def cursor_parse(s: Column) -> Column:
-    """``struct(height, txid, mempool)``; null if the text is no cursor."""
-    part = lambda n: F.nullif(F.regexp_extract(s, CURSOR, n), F.lit(""))
-    return F.when(s.rlike(CURSOR), F.struct(part(1).try_cast("long").alias("height"), part(2).alias("txid"), part(3).alias("mempool")))
+    """``struct(height, txid, mempool)``; null if the text is no cursor. A height may have leading zeros, a txid may be empty."""
+    part = lambda n: F.regexp_extract(s, CURSOR, n)
+    height = F.regexp_replace(part(1), r"\A0+(?=[0-9])", "").try_cast("decimal(38,0)")
+    fits = s.rlike(CURSOR) & F.coalesce(height <= F.lit(str(_MOST_HEIGHT)).cast("decimal(38,0)"), F.lit(False))
+    return F.when(fits, F.struct(height.cast("decimal(20,0)").alias("height"), part(2).alias("txid"), F.nullif(part(3), F.lit("")).alias("mempool")))
 
 
 def strict_object(s: Column, required: list[str], optional: list[str] | None = None) -> Column:
@@ -58,16 +63,25 @@ def strict_object(s: Column, required: list[str], optional: list[str] | None = N
     return F.coalesce(F.try_parse_json(s).isNotNull() & keys.isNotNull() & has_all & (F.size(F.array_except(keys, known)) == 0), F.lit(False))
 
 
-# The outcome vocabulary, bare and with a payload.
-BARE_OUTCOMES = ("fetched", "not_fetched", "unavailable", "reauth_required", "revoked", "gone", "sca_required")
-KEYED_OUTCOMES = ("fetched", "stale", "rate_limited")
+# The outcome vocabulary, bare and with a body.
+BARE_OUTCOMES = ("not_fetched", "unavailable", "reauth_required", "revoked", "gone", "sca_required")
+KEYED_OUTCOMES = {"fetched": ("page_empty", "BOOLEAN"), "stale": ("as_of", "STRING"), "rate_limited": ("retry_after_ms", "BIGINT")}
 
 
 def outcome_kind(raw: Column) -> Column:
-    """Kind of a bare string or one-key object; null if it is neither."""
-    bare = F.regexp_extract(raw, r'\A\s*"([a-z_]+)"\s*\z', 1)
-    keys = F.json_object_keys(raw)
-    return F.when(bare.isin(*BARE_OUTCOMES), bare).when((F.size(keys) == 1) & keys[0].isin(*KEYED_OUTCOMES), keys[0])
+    """Kind of a bare string, or of an object of one outcome whose body has its one field; null if it is neither."""
+    value = F.try_parse_json(raw)
+    shape = F.schema_of_variant(value)
+    bare = F.when(shape == "STRING", F.try_variant_get(value, "$", "string"))
+    out = F.when(bare.isin(*BARE_OUTCOMES), bare)
+    right = {
+        "fetched": F.lit(True),
+        "stale": valid(F.try_variant_get(value, "$.stale.as_of", "string")),
+        "rate_limited": F.try_variant_get(value, "$.rate_limited.retry_after_ms", "bigint") >= 0,
+    }
+    for kind, (field, kind_of) in KEYED_OUTCOMES.items():
+        out = out.when((shape == f"OBJECT<{kind}: OBJECT<{field}: {kind_of}>>") & F.coalesce(right[kind], F.lit(False)), F.lit(kind))
+    return out
 
 
 def outcome_label(kind: Column, as_of: Column) -> Column:
@@ -75,7 +89,8 @@ def outcome_label(kind: Column, as_of: Column) -> Column:
 
 
 def http_outcome(status: Column) -> Column:
-    return F.when(status == 200, F.lit("fetched")).when(status == 429, F.lit("rate_limited")).otherwise(F.lit("unavailable"))
+    """What a provider's status means: 404 is an answer, that there is nothing there."""
+    return F.when(status == 200, F.lit("fetched")).when(status == 404, F.lit("not_found")).when(status == 429, F.lit("rate_limited")).otherwise(F.lit("unavailable"))
 
 
 def corpus_name(path: Column) -> Column:

@@ -32,8 +32,9 @@ def in_window(effective_at: Column, start: Column, end: Column) -> Column:
 
 
 def resource_fingerprint(kind: Column, extra_json: Column) -> Column:
-    """SHA-256 of what defines a resource; its label does not."""
-    return F.sha2(F.concat(F.octet_length(kind).cast("string"), F.lit(":"), kind, F.lit(";"), F.to_json(F.try_parse_json(extra_json))), 256)
+    """SHA-256 of the JSON object of what defines a resource, keys in order; its label does not. No extra is an empty one."""
+    extra = F.try_parse_json(F.coalesce(extra_json, F.lit("{}")))
+    return F.when(extra.isNotNull(), F.sha2(F.to_json(F.struct(kind.alias("kind"), extra.alias("provider_extra"))), 256))
 
 
 def request_shape(params_json: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +48,20 @@ def plan(txs: DataFrame, floor: Column | None = None, floor_mempool: Column | No
     return confirmed.unionByName(txs.filter("height IS NULL").filter(after).withColumn("section", F.lit(1)))
 
 
+def emission_order(planned: DataFrame) -> DataFrame:
+    """Add ``seq``, the place of a planned transaction in its section.
+
+    A block's transactions are numbered in a task of their own, after those of
+    all lower blocks, which are counted by height: no task sees a whole section
+    but the one of the mempool, which is one block's worth of what can wait.
+    """
+    blocks = planned.groupBy("section", "height").agg(F.count(F.lit(1)).alias("_n"))
+    below = Window.partitionBy("section").orderBy("height").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(F.col("section").alias("_s"), F.col("height").alias("_h"), F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("section", "height").orderBy("txid"))
+    return planned.withColumn("_i", number).join(starts, (F.col("section") == F.col("_s")) & F.col("height").eqNullSafe(F.col("_h"))).withColumn("seq", (F.col("_before") + F.col("_i")).cast("int")).drop("_i", "_s", "_h", "_before")
+
+
 def high_water(txs: DataFrame) -> DataFrame:
     return txs.filter("height IS NOT NULL").agg(F.max(F.struct("height", "txid")).alias("high_water")).select("high_water.*")
 
@@ -59,22 +73,31 @@ def first_page(rows: DataFrame, key: str, order: str, size: str, budget: int) ->
 
 
 def cut_pages(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
-    """``key, order, page``: greedy packing, which no window expresses; a row over the budget gets no page."""
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        page, used, out = 1, 0, []
-        for n in group.sort_values(order)[size]:
-            if n > budget:
-                out.append(None)
-                continue
-            if used and used + 1 + n > budget:
-                page, used = page + 1, 0
-            used += n + (used > 0)
-            out.append(page)
-        return group.sort_values(order)[[key, order]].assign(page=pd.array(out, "Int64"))
+    """``key, order, page``: greedy packing, which no window expresses; a row over the budget gets no page.
 
+    A key's rows stream through in order, and only the page and what it holds
+    are kept: a key of any length needs no memory.
+    """
     kind = dict(rows.dtypes)
-    return rows.select(key, order, size).groupBy(key).applyInPandas(pack, f"{key} {kind[key]}, {order} {kind[order]}, page long")
+    number = F.row_number().over(Window.partitionBy(key).orderBy(order))
+
+    def pack(batches):
+        page, used = 1, 0
+        for batch in batches:
+            out = []
+            for n, first in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if first == 1:
+                    page, used = 1, 0
+                if n is None or n > budget:
+                    out.append(None)
+                    continue
+                if used and used + 1 + n > budget:
+                    page, used = page + 1, 0
+                used += n + (used > 0)
+                out.append(page)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], [key, order, "page"])
+
+    return rows.select(key, order, size, number.alias("_n")).mapInArrow(pack, f"{key} {kind[key]}, {order} {kind[order]}, page long")
 
 
 def esplora_observations(txs: DataFrame, wallet: str) -> DataFrame:

@@ -24,16 +24,25 @@ def sequence_diff(actual: DataFrame, declared: DataFrame, key: list[str], conten
 
 
 def align_slice(emitted: DataFrame, declared: DataFrame, key: list[str], content: str) -> DataFrame:
-    """Per key the offset at which the emitted sequence agrees best with a slice of the declared one, and its differences.
+    """Per key of ``emitted``: the offset at which it agrees best with a slice of the declared sequence, and its differences.
 
-    Offsets are those at which at least one element agrees: an equi-join on content, not a comparison of all positions.
+    The slice lies inside the declared sequence; of equally good offsets the
+    first counts. Where nothing agrees anywhere that is 0. A sequence longer
+    than the declared one fits nowhere: its offset is null and its differences
+    are the elements too many. Only offsets at which an element agrees are
+    compared: an equi-join on content, of which the pairs outside are dropped.
     """
+    size = Window.partitionBy(*key)
     e = emitted.select(*key, F.col("seq").alias("_e"), F.col(content).alias("_c"))
-    d = declared.select(*key, F.col("seq").alias("_d"), F.col(content).alias("_c"))
-    agree = e.join(d, [*key, "_c"]).groupBy(*key, (F.col("_d") - F.col("_e")).alias("offset")).agg(F.count(F.lit(1)).alias("agree"))
-    size = emitted.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    best = Window.partitionBy(*key).orderBy(F.col("agree").desc(), "offset")
-    return agree.join(size, key).withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(*key, "offset", (F.col("n") - F.col("agree")).alias("differences"))
+    d = declared.select(*key, F.col("seq").alias("_d"), F.col(content).alias("_c"), F.count(F.lit(1)).over(size).alias("_m"))
+    n = e.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(d.groupBy(*key).agg(F.count(F.lit(1)).alias("m")), key, "left").fillna(0, ["m"])
+    counted = e.withColumn("_n", F.count(F.lit(1)).over(size))
+    inside = (F.col("_d") >= F.col("_e")) & (F.col("_d") - F.col("_e") <= F.col("_m") - F.col("_n"))
+    agree = counted.join(d, [*key, "_c"]).filter(inside).groupBy(*key, (F.col("_d") - F.col("_e")).cast("long").alias("offset")).agg(F.count(F.lit(1)).alias("agree"))
+    best = agree.groupBy(*key).agg(F.max(F.struct("agree", (-F.col("offset")).alias("o"))).alias("b"))
+    fits = F.col("n") <= F.col("m")
+    offset = F.when(fits, F.coalesce(-F.col("b.o"), F.lit(0).cast("long")))
+    return n.join(best, key, "left").select(*key, offset.alias("offset"), F.when(fits, F.col("n") - F.coalesce("b.agree", F.lit(0))).otherwise(F.col("n") - F.col("m")).cast("long").alias("differences"), fits.alias("fits"))
 
 
 def set_difference(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ def gate(page_status: DataFrame) -> DataFrame:
 
 
 def disqualifier(violation: Column, began_at_start: Column, derivation: Column) -> Column:
-    """The first condition that a gated sweep fails, or null if it may retract."""
+    """The first condition that a gated sweep fails, or null if it may retract. The sentences are fixed values: the store keeps them."""
     no = lambda c: ~F.coalesce(c, F.lit(False))
     return (
         F.when(violation.isNotNull(), violation)
@@ -58,8 +58,9 @@ def empty_sweep(observed: Column, live: Column, confirmed: Column) -> Column:
 
 
 def reason(head_derivation: Column, derivation: Column, head_fingerprint: Column, fingerprint: Column) -> Column:
-    """Why an absent record is retracted; what is not known counts as unchanged."""
-    return F.when(F.coalesce(head_derivation != derivation, F.lit(False)), F.lit(DERIVATION)).when(F.coalesce(head_fingerprint != fingerprint, F.lit(False)), F.lit(DEFINITION)).otherwise(F.lit(ABSENT))
+    """Why an absent record is retracted. A record never seen (no derivation) is only absent; one seen without a fingerprint was defined otherwise."""
+    seen = head_derivation.isNotNull()
+    return F.when(seen & ~head_derivation.eqNullSafe(derivation), F.lit(DERIVATION)).when(seen & ~head_fingerprint.eqNullSafe(fingerprint), F.lit(DEFINITION)).otherwise(F.lit(ABSENT))
 
 
 def retract(live: DataFrame, observed: DataFrame, exempt: DataFrame, history_start: Column | None = None) -> DataFrame:
@@ -77,30 +78,37 @@ def discrepancies(rows: DataFrame) -> DataFrame:
 def ingest(head: DataFrame, rows: DataFrame) -> DataFrame:
     """New rows with ``revision`` and ``appended``, where a key may come several times in one crawl.
 
-    Each decision depends on the one before, so a key's rows and head meet in
-    one group, ordered by arrival. A repetition of the head's content appends
-    nothing, unless the chain is buried. Keys with one new row take the join in
-    ``ingest_single``; both agree on those.
+    Each decision depends on the one before, so a key's rows follow one another
+    in arrival order, beside its head. A repetition of the head's content appends
+    nothing, unless the chain is buried. Rows stream through: what is held is one
+    key's top revision, head content and head place, however long its chain.
+    Keys with one new row can take the join in ``ingest_single``; both agree on those.
     """
     schema = "adapter_id string, local_id string, arrival_index long, content_hash string, revision long, appended boolean"
+    place = lambda t: F.struct(F.col(f"{t}received_at").alias("r"), F.col(f"{t}surface").alias("s"), F.col(f"{t}arrival_index").cast("long").alias("i"))
+    known = head.select(*KEY, F.col("max_revision").cast("long").alias("_top"), F.col("buried").alias("_buried"), F.col("content_hash").alias("_hash"), place("").alias("_place"))
+    # the window asks for each key's rows together and in order; the number of a key's first row is 1
+    number = F.row_number().over(Window.partitionBy(*KEY).orderBy("arrival_index"))
+    beside = rows.join(known, list(KEY), "left").select(*KEY, "arrival_index", "content_hash", place("").alias("place"), "_top", "_buried", "_hash", "_place", number.alias("_n"))
 
-    def one(h: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    def fold(batches):
         top, buried, digest, order = 0, False, None, ("", "", -1)
-        if len(h):
-            r = h.iloc[0]
-            top, buried, digest, order = int(r["max_revision"]), bool(r["buried"]), r["content_hash"], (r["received_at"], r["surface"], int(r["arrival_index"]))
-        out = []
-        for r in new.sort_values("arrival_index").itertuples():
-            place = (r.received_at, r.surface, int(r.arrival_index))
-            fresh = buried or digest is None or r.content_hash != digest
-            if fresh:
-                top, buried = top + 1, False
-                if place > order:
-                    digest, order = r.content_hash, place
-            out.append((r.adapter_id, r.local_id, r.arrival_index, r.content_hash, top, fresh))
-        return pd.DataFrame(out, columns=["adapter_id", "local_id", "arrival_index", "content_hash", "revision", "appended"])
-
-    return head.groupBy(*KEY).cogroup(rows.groupBy(*KEY)).applyInPandas(one, schema)
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            revisions, fresh_ones = [], []
+            for content, here, known_top, known_buried, known_hash, known_place, n in zip(*columns[3:], strict=True):
+                if n == 1:
+                    top, buried, digest, order = known_top or 0, bool(known_buried), known_hash, tuple(known_place.values()) if known_top else ("", "", -1)
+                fresh = buried or digest is None or content != digest
+                if fresh:
+                    top, buried = top + 1, False
+                    if tuple(here.values()) > order:
+                        digest, order = content, tuple(here.values())
+                revisions.append(top)
+                fresh_ones.append(fresh)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(revisions, pa.int64()), pa.array(fresh_ones, pa.bool_())], ["adapter_id", "local_id", "arrival_index", "content_hash", "revision", "appended"])
+
+    return beside.mapInArrow(fold, schema)
 
 
 def ingest_single(head: DataFrame, rows: DataFrame) -> DataFrame:

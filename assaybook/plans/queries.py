@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assaybook.functions import money, rfc3339, text
+from assaybook.functions import money, rfc3339, text, wire
 from assaybook.operators import balances, fold, pages, provider, reconcile, sweep
 from assaybook.plans import views
 from assaybook.plans.views import BAL_SQL, LEG_SQL, MONEY_SQL, OBS_SQL, TIME_SQL, TX_SQL, table
@@ -125,14 +125,44 @@ def q_fingerprint(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(text.address_set_hash(addresses).alias("fingerprint"))
 
 
-@query("""WITH c AS (SELECT o_orderkey, o_custkey || ':' || sha256(CAST(o_orderkey AS VARCHAR)) || CASE WHEN o_orderkey % 3 = 0 THEN ':m:' || sha256(CAST(o_custkey AS VARCHAR)) ELSE '' END || CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE '' END AS cursor FROM orders)
-SELECT o_orderkey, cursor, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(split_part(cursor, ':', 1) AS BIGINT) END AS height, CASE WHEN o_orderkey % 11 <> 0 THEN split_part(cursor, ':', 2) END AS txid, CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 3 = 0 THEN split_part(cursor, ':', 4) END AS mempool FROM c""")
+@query("""WITH c AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN '00' WHEN 2 THEN '+' ELSE '' END || o_custkey || CASE WHEN o_orderkey % 23 = 0 THEN '00000000000000000000' ELSE '' END || ':' || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE sha256(CAST(o_orderkey AS VARCHAR)) END
+ || CASE WHEN o_orderkey % 3 = 0 THEN ':m:' || sha256(CAST(o_custkey AS VARCHAR)) ELSE '' END || CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE '' END AS cursor, o_orderkey % 11 <> 0 AND o_orderkey % 23 <> 0 AS good, o_custkey FROM orders)
+SELECT o_orderkey, cursor, CASE WHEN good THEN o_custkey END AS height, CASE WHEN good THEN split_part(cursor, ':', 2) END AS txid, CASE WHEN good AND o_orderkey % 3 = 0 THEN split_part(cursor, ':', 4) END AS mempool FROM c""")
 def q_cursor(spark, d):
+    """Cursors with signs, leading zeros, empty txids, heights beyond 64 bits and stray endings."""
     k = F.col("o_orderkey")
     sha = lambda c: F.sha2(F.col(c).cast("string"), 256)
-    made = text.cursor_encode(F.col("o_custkey"), sha("o_orderkey"), F.when(k % 3 == 0, sha("o_custkey")))
+    height = F.concat(F.when(k % 5 == 1, F.lit("00")).when(k % 5 == 2, F.lit("+")).otherwise(F.lit("")), F.col("o_custkey").cast("string"), F.when(k % 23 == 0, F.lit("0" * 20)).otherwise(F.lit("")))
+    made = text.cursor_encode(height, F.when(k % 7 == 0, F.lit("")).otherwise(sha("o_orderkey")), F.when(k % 3 == 0, sha("o_custkey")))
     rows = table(spark, d, "orders").select("o_orderkey", F.concat(made, F.when(k % 11 == 0, F.lit("x")).otherwise(F.lit(""))).alias("cursor"))
-    return rows.select("o_orderkey", "cursor", text.cursor_parse(F.col("cursor")).alias("p")).select("o_orderkey", "cursor", "p.*")
+    return rows.select("o_orderkey", "cursor", text.cursor_parse(F.col("cursor")).alias("p")).select("o_orderkey", "cursor", F.col("p.height").cast("long").alias("height"), "p.txid", "p.mempool")
+
+
+_OUTCOMES = (
+    ('"fetched"', None), ('{"fetched":{"page_empty":false}}', "fetched"), ('{"fetched":1}', None), ('{"fetched":{}}', None), ('{"fetched":{"page_empty":"no"}}', None),
+    ('"not_fetched"', "not_fetched"), ('{"not_fetched":{}}', None), ('{"stale":{"as_of":"2024-01-02T03:04:05Z"}}', "stale"), ('{"stale":{"as_of":"yesterday"}}', None), ('"stale"', None),
+    ('{"rate_limited":{"retry_after_ms":5}}', "rate_limited"), ('{"rate_limited":{"retry_after_ms":-5}}', None), ('{"rate_limited":{"retry_after_ms":5},"gone":{}}', None), ('"gone"', "gone"), ('"nonsense"', None), ("nonsense", None),
+)
+
+
+@query("SELECT event_id, CASE event_id % 16 WHEN 1 THEN 'fetched' WHEN 5 THEN 'not_fetched' WHEN 7 THEN 'stale' WHEN 10 THEN 'rate_limited' WHEN 13 THEN 'gone' END AS outcome FROM events")
+def q_outcome(spark, d):
+    """The grammar of outcomes: sixteen spellings, dealt by event id."""
+    raw = F.element_at(F.array(*[F.lit(t) for t, _ in _OUTCOMES]), (F.col("event_id") % 16 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", text.outcome_kind(raw).alias("outcome"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'fetched' WHEN 1 THEN 'not_found' WHEN 2 THEN 'rate_limited' ELSE 'unavailable' END AS outcome FROM events")
+def q_http_outcome(spark, d):
+    status = F.element_at(F.array(*[F.lit(x) for x in (200, 404, 429, 500, 403)]), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", text.http_outcome(status).alias("outcome"))
+
+
+@query("""SELECT event_id, sha256('{"kind":"' || event_type || '","provider_extra":' || CASE WHEN event_id % 3 = 0 THEN '{}' ELSE '{"a":"x","k":' || CAST(props->>'k' AS VARCHAR) || '}' END || '}') AS fingerprint FROM events""")
+def q_resource_fingerprint(spark, d):
+    """Keys in order, whatever the order they came in; a missing extra object is an empty one."""
+    extra = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit('{ "k": '), F.get_json_object("props", "$.k"), F.lit(', "a": "x"}')))
+    return table(spark, d, "events").select("event_id", wire.resource_fingerprint(F.col("event_type"), extra).alias("fingerprint"))
 
 
 @query("""SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys, len(json_keys(props)) = 1 AND json_keys(props)[1] = 'k' AS strict FROM events""")
@@ -146,9 +176,17 @@ def q_byte_budget(spark, d):
     return provider.first_page(rows, "source", "doc_id", "n", 32768)
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT doc_id, source, CAST(strlen(text) AS BIGINT) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+p(doc_id, source, i, page, cur, used) AS (
+  SELECT doc_id, source, i, CASE WHEN n <= 32768 THEN 1 END, 1, CASE WHEN n <= 32768 THEN n ELSE 0 END FROM s WHERE i = 1
+  UNION ALL
+  SELECT s.doc_id, s.source, s.i, CASE WHEN n <= 32768 THEN cur + CASE WHEN used > 0 AND used + 1 + n > 32768 THEN 1 ELSE 0 END END,
+    cur + CASE WHEN n <= 32768 AND used > 0 AND used + 1 + n > 32768 THEN 1 ELSE 0 END,
+    CASE WHEN n > 32768 THEN used WHEN used > 0 AND used + 1 + n > 32768 THEN n WHEN used > 0 THEN used + 1 + n ELSE n END
+  FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source AND s.i = p.i + 1)
+SELECT doc_id, source, CAST(page AS BIGINT) AS page FROM p""")
 def q_cut_pages(spark, d):
-    """All pages, packed one after the other: SQL without recursion can't express it."""
+    """All pages, packed one after the other."""
     rows = table(spark, d, "documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("n"))
     return provider.cut_pages(rows, "source", "doc_id", "n", 32768)
 
@@ -237,11 +275,12 @@ def q_empty_sweep(spark, d):
     return c.select("c_custkey", sweep.empty_sweep(F.coalesce("n", F.lit(0)), F.col("c_custkey") % 3, F.col("c_custkey") % 10 == 0).alias("exempt"))
 
 
-@query("""WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'd1' ELSE 'd2' END AS hd, CASE WHEN doc_id % 3 = 0 THEN 'f1' END AS hf FROM documents)
-SELECT doc_id, CASE WHEN hd <> 'd2' THEN 'derivation_changed' WHEN hf <> 'f2' THEN 'resource_definition_changed' ELSE 'absent_from_complete_sweep' END AS reason FROM r""")
+@query("""WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'd1' ELSE 'd2' END AS hd, CASE doc_id % 3 WHEN 0 THEN 'f1' WHEN 1 THEN 'f2' END AS hf FROM documents)
+SELECT doc_id, CASE WHEN hd IS NULL THEN 'absent_from_complete_sweep' WHEN hd <> 'd2' THEN 'derivation_changed' WHEN hf IS DISTINCT FROM 'f2' THEN 'resource_definition_changed' ELSE 'absent_from_complete_sweep' END AS reason FROM r""")
 def q_reason(spark, d):
     i = F.col("doc_id")
-    return table(spark, d, "documents").select("doc_id", sweep.reason(F.when(i % 4 == 1, F.lit("d1")).when(i % 4 != 0, F.lit("d2")), F.lit("d2"), F.when(i % 3 == 0, F.lit("f1")), F.lit("f2")).alias("reason"))
+    fingerprint = F.when(i % 3 == 0, F.lit("f1")).when(i % 3 == 1, F.lit("f2"))
+    return table(spark, d, "documents").select("doc_id", sweep.reason(F.when(i % 4 == 1, F.lit("d1")).when(i % 4 != 0, F.lit("d2")), F.lit("d2"), fingerprint, F.lit("f2")).alias("reason"))
 
 
 @query(f"""WITH {OBS_SQL}, o2 AS (SELECT * EXCLUDE (resource_id), 'r' || (event_id % 2) AS resource_id FROM rev), n AS (SELECT adapter_id, local_id, count(DISTINCT resource_id) AS resources FROM o2 GROUP BY ALL)
@@ -342,7 +381,7 @@ def q_plan(spark, d):
     """Emission order above a floor; ``seq`` states the order."""
     txs = provider.distinct_transactions(views.transactions(spark, d), *_TIES)
     p = provider.plan(txs, F.struct(F.lit(1000).cast("long").alias("height"), F.lit("5").alias("txid")))
-    return p.select("txid", "height", "section", F.row_number().over(Window.partitionBy("section").orderBy("height", "txid")).alias("seq"))
+    return provider.emission_order(p).select("txid", "height", "section", "seq")
 
 
 @query(f"WITH {TX_SQL} SELECT height, txid FROM one WHERE height IS NOT NULL ORDER BY height DESC, txid DESC LIMIT 1")
@@ -396,11 +435,30 @@ def q_sequence_equal(spark, d):
     return reconcile.sequence_diff(emitted, declared, ["o_custkey"], "content")
 
 
-@query(f"""WITH {_SEQ}, a AS (SELECT o_custkey, d.seq - e.seq AS "offset", count(*) AS agree FROM e JOIN d USING (o_custkey, c) GROUP BY ALL), n AS (SELECT o_custkey, count(*) AS n FROM e GROUP BY 1)
-SELECT o_custkey, "offset", n - agree AS differences FROM a JOIN n USING (o_custkey) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY agree DESC, "offset") = 1""")
+_SLICES = """d0 AS (SELECT o_custkey, o_orderkey, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS m, o_orderstatus || o_orderpriority AS c FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+d AS (SELECT o_custkey, i AS seq, c FROM d0),
+e AS (SELECT o_custkey, i AS seq, CASE WHEN o_custkey % 7 = 0 THEN 'none' ELSE c END AS c FROM d0 WHERE o_custkey % 11 = 0
+  UNION ALL SELECT o_custkey, m, 'more' FROM d0 WHERE o_custkey % 11 = 0 AND i = 0
+  UNION ALL SELECT o_custkey, i - 1, CASE WHEN o_custkey % 7 = 0 THEN 'none' WHEN o_orderkey % 13 = 0 THEN 'other' ELSE c END FROM d0 WHERE o_custkey % 11 <> 0 AND i BETWEEN 1 AND m - 2)"""
+
+
+@query(f"""WITH {_SLICES}, n AS (SELECT o_custkey, count(*) AS n FROM e GROUP BY 1), m AS (SELECT o_custkey, count(*) AS m FROM d GROUP BY 1),
+o AS (SELECT o_custkey, n, m, unnest(range(0, greatest(m - n, 0) + 1)) AS off FROM n JOIN m USING (o_custkey)),
+j AS (SELECT o.o_custkey, n, m, off, count(*) FILTER (d.c IS DISTINCT FROM e.c) AS diffs FROM o JOIN e ON e.o_custkey = o.o_custkey LEFT JOIN d ON d.o_custkey = o.o_custkey AND d.seq = e.seq + off GROUP BY ALL),
+b AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY diffs, off) = 1)
+SELECT o_custkey, CASE WHEN n <= m THEN off END AS "offset", CASE WHEN n <= m THEN diffs ELSE n - m END AS differences, n <= m AS fits FROM b""")
 def q_slice_align(spark, d):
-    emitted, declared = _sequences(spark, d)
-    return reconcile.align_slice(emitted, declared, ["o_custkey"], "content")
+    """Slices with other elements in between, slices that agree nowhere, and sequences longer than the declared one."""
+    w = Window.partitionBy("o_custkey")
+    every = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.row_number().over(w.orderBy("o_orderkey")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("m"), F.concat("o_orderstatus", "o_orderpriority").alias("content"))
+    k = F.col("o_custkey")
+    none = lambda other: F.when(k % 7 == 0, F.lit("none")).otherwise(other)
+    longer = every.filter(k % 11 == 0)
+    emitted = longer.select("o_custkey", F.col("i").alias("seq"), none(F.col("content")).alias("content"))
+    emitted = emitted.unionByName(longer.filter("i = 0").select("o_custkey", F.col("m").cast("int").alias("seq"), F.lit("more").alias("content")))
+    inner = every.filter((k % 11 != 0) & F.col("i").between(F.lit(1), F.col("m") - 2))
+    emitted = emitted.unionByName(inner.select("o_custkey", (F.col("i") - 1).alias("seq"), none(F.when(F.col("o_orderkey") % 13 == 0, F.lit("other")).otherwise(F.col("content"))).alias("content")))
+    return reconcile.align_slice(emitted, every.select("o_custkey", F.col("i").alias("seq"), "content"), ["o_custkey"], "content")
 
 
 @query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A')
@@ -449,9 +507,16 @@ def q_needs_reauth(spark, d):
     return balances.needs_reauth(rows)
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBS_SQL}, h AS (SELECT adapter_id, local_id, arrival_index, {_HASH_SQL} AS c, received_at || '/' || surface || '/' || lpad(CAST(arrival_index AS VARCHAR), 20, '0') AS place, row_number() OVER (PARTITION BY adapter_id, local_id ORDER BY arrival_index) AS i FROM obs),
+r(adapter_id, local_id, arrival_index, i, revision, appended, head, place) AS (
+  SELECT adapter_id, local_id, arrival_index, i, CAST(1 AS BIGINT), true, c, place FROM h WHERE i = 1
+  UNION ALL
+  SELECT h.adapter_id, h.local_id, h.arrival_index, h.i, r.revision + CAST(h.c <> r.head AS BIGINT), h.c <> r.head,
+    CASE WHEN h.c <> r.head AND h.place > r.place THEN h.c ELSE r.head END, CASE WHEN h.c <> r.head AND h.place > r.place THEN h.place ELSE r.place END
+  FROM r JOIN h ON h.adapter_id = r.adapter_id AND h.local_id = r.local_id AND h.i = r.i + 1)
+SELECT adapter_id, local_id, arrival_index, revision, appended FROM r""")
 def q_ingest(spark, d):
-    """All crawls through the sequential ingestion; each decision depends on the one before, so tests hold the oracle."""
+    """All crawls through the sequential ingestion: each decision depends on the one before."""
     rows = _hashed(spark, d).select("adapter_id", "local_id", "arrival_index", "content_hash", "received_at", "surface")
     head = spark.createDataFrame([], "adapter_id string, local_id string, received_at string, surface string, arrival_index long, content_hash string, max_revision long, buried boolean")
     return sweep.ingest(head, rows).select("adapter_id", "local_id", "arrival_index", "revision", "appended")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaybook.functions import rfc3339, text
+from assaybook.plans import queries
 
 TIMES = [
     ("1970-01-01T00:00:00Z", (0, 0)),
@@ -57,7 +58,7 @@ def test_strict_objects(spark):
 
 
 def test_outcomes(spark):
-    cases = [('"fetched"', "fetched"), ('{"stale":{"as_of":"x"}}', "stale"), ('{"stale":1,"gone":2}', None), ('"stale"', None), ('"nonsense"', None)]
+    cases = [*queries._OUTCOMES, ('{"stale":{"as_of":"x"}}', None), ('{"stale":1,"gone":2}', None), ('{"fetched":{"page_empty":true,"more":1}}', None), (None, None)]
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c string")
     got = dict(df.select("i", text.outcome_kind(F.col("c"))).collect())
     assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
