@@ -48,6 +48,7 @@ _CHUNK = re.compile(" +[^ ]*")
 _ABOUT, _ASK, _ANSWER = 0, 1, 2
 _SCHEMA = "bucket int, block long, kind int, numbers binary, counts binary, data binary, texts binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("numbers", pa.binary()), ("counts", pa.binary()), ("data", pa.binary()), ("texts", pa.binary())])
+_DECODED_AT_ONCE = 20_000
 _BETWEEN = b"\xff"  # never part of UTF-8
 
 
@@ -101,7 +102,7 @@ def _pack(numbers) -> bytes:
 
 def _unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
 
 
 def _pack_strings(strings: list[bytes]) -> bytes:
@@ -137,7 +138,9 @@ class _Block:
         rank[by_use] = np.arange(len(by_use))
         rows = [(block % n_buckets, block, _ABOUT, _pack(np.minimum(rank, (used > 1).sum())[places]), _pack(self.per_doc), as_bytes(self.about), b"")]
         chunks = list(self.number)
+        self.number.clear()
         raw = [chunks[k].encode() for k in by_use.tolist()]
+        del chunks
         bucket = np.array([zlib.crc32(r) for r in raw], np.int64) % n_buckets
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
@@ -186,7 +189,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str]
         mine = next(r for r in rows if r["kind"] == _ABOUT)
         about, places, per_doc = pa.ipc.open_stream(mine["data"]).read_all(), _unpack(mine["numbers"]), _unpack(mine["counts"])
         answers = [r for r in rows if r["kind"] == _ANSWER]
-        numbers = [np.cumsum(_unpack(r["numbers"])) for r in answers]
+        numbers = [np.cumsum(_unpack(r["numbers"]), dtype=np.int64) for r in answers]
         n = sum(map(len, numbers))
         # the last number stands for all that are used once
         single = np.flatnonzero(places == places.max()) if len(places) and n > places.max() + 1 else []
@@ -194,16 +197,19 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str]
         begin, count, flat, at = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
         for r, own in zip(answers, numbers, strict=True):
             size = _unpack(r["counts"])
-            begin[own], count[own] = at + np.cumsum(size) - size, size
-            flat.append(_unpack(r["data"]).astype(np.int32))
+            begin[own], count[own] = at + np.cumsum(size, dtype=np.int64) - size, size
+            flat.append(_unpack(r["data"]))
             at += len(flat[-1])
+        del rows, answers
         size = count[places]
         total = np.concatenate([[0], np.cumsum(size)])
         flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-        every = flat.tolist()
-        words = chunk_coder(model).decoded([every[a : a + c] for a, c in zip(begin.tolist(), count.tolist(), strict=True)])
+        words: list[str] = []
+        for k in range(0, n, _DECODED_AT_ONCE):
+            own = slice(k, k + _DECODED_AT_ONCE)
+            words += chunk_coder(model).decoded([flat[a : a + c].tolist() for a, c in zip(begin[own].tolist(), count[own].tolist(), strict=True)])
         ids = flat[np.repeat(begin[places] - total[:-1], size) + np.arange(total[-1])]
-        ends = np.concatenate([[0], np.cumsum(per_doc)])
+        ends = np.concatenate([[0], np.cumsum(per_doc, dtype=np.int64)])
         joined = chunk_coder(model).joined
         texts = [joined([words[k] for k in places[a:z].tolist()]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         columns = [about[f.name] for f in names] + [pa.LargeListArray.from_arrays(pa.array(total[ends]), pa.array(ids, pa.int32())).cast(pa.list_(pa.int32())), pa.array(texts, pa.string())]

@@ -318,6 +318,6 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its text masked, and how many values of each kind were found."""
+    """Every document with its text masked."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pseudonymise(docs).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))

@@ -298,7 +298,8 @@ class Scorer:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the probability of toxicity in a further column."""
+    """``docs`` with the probability of toxicity in a further column, which takes the place of one of its name."""
+    docs = docs.drop(into)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
