@@ -149,8 +149,11 @@ class _Block:
         return _rows(rows)
 
 
-def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (by default all but the text), ``ids`` and ``decoded`` of every row."""
+def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str] | None = None, chunks_a_block: int = CHUNKS_A_BLOCK) -> DataFrame:
+    """The kept columns (by default all but the text), ``ids`` and ``decoded`` of every row.
+
+    ``chunks_a_block`` weighs a worker's memory, which grows with it, against what is sent: a block sends its distinct chunks once.
+    """
     names = [f for f in docs.schema.fields if f.name in (keep if keep is not None else docs.columns) and f.name not in (text_col, "ids", "decoded")]
     kept = docs.select(F.col(text_col).alias("__text"), *[F.col(f"`{f.name}`") for f in names])
     n_buckets, most_docs = buckets_for(docs.sparkSession, text_bytes_total(docs, text_col), 16 << 20), DOCUMENTS_A_BLOCK
@@ -163,7 +166,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str]
             rest, first = batch.select([f.name for f in names]), 0
             for k, text in enumerate(batch.column(0), 1):
                 held.add(coder.split(utf8(text.as_py()).decode()))
-                if len(held.places) >= CHUNKS_A_BLOCK or len(held.per_doc) >= most_docs:
+                if len(held.places) >= chunks_a_block or len(held.per_doc) >= most_docs:
                     held.about.append(rest.slice(first, k - first))
                     yield held.rows(number, n_buckets)
                     held, first, number = _Block(), k, number + 1
