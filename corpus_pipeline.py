@@ -25,6 +25,10 @@ from assaybook.llm import jaccard_join, mixing, pieces, pii, toxicity
 from assaybook.llm.common import shared_dir, stored
 
 
+#: Workers that earlier stages have filled leave less memory than a query of its own has: smaller blocks.
+_CHUNKS_A_BLOCK = 1 << 19
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, into="__score").filter(F.col("__score") < 0.5).select(*docs.columns)
@@ -53,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pieces.with_digests(pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "source"]))
+    return pieces.with_digests(pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "source"], chunks_a_block=_CHUNKS_A_BLOCK))
 
 
 STAGES = [
