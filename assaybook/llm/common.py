@@ -7,10 +7,13 @@ Spark's own writers or through ``pyarrow.fs`` opened on that folder's URI.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +111,40 @@ def publish(uri: str, name: str, payload_writer) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return memory that this process has freed to the system.
+
+    Python workers wait for the next stage's tasks, which may need none of
+    them: what they keep for themselves is missing elsewhere on the executor.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def tidy_map(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A ``mapInArrow`` function that gives memory back at the end of its task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """An ``applyInArrow`` function that gives memory back after each group of more than a megabyte."""
+
+    def tidied(table: pa.Table) -> pa.Table:
+        out, large = run(table), table.nbytes > 1 << 20
+        if large:
+            give_back()
+        return out
+
+    return tidied
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assaybook.llm.common import BYTE_VALUE, discard, look_up, mix64, stored, text_bytes_total, utf8
+from assaybook.llm.common import BYTE_VALUE, discard, look_up, mix64, stored, text_bytes_total, tidy_group, tidy_map, utf8
 from assaybook.llm.components import components
 from assaybook.llm.shared_keys import buckets_for, find_shared
 
@@ -55,18 +55,22 @@ _LOWER[65:91] += 32
 _VALUES = BYTE_VALUE[_LOWER]
 _BASE = 0x9E3779B97F4A7C55
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_powers: list[np.ndarray] = []
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and its inverse's, modulo 2**64."""
-    if len(_powers["up"]) < n:
-        size = max(n, _CHUNK + (1 << 16))
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
+    """The base's powers and its inverse's, modulo 2**64; those of texts longer than a chunk aren't kept."""
+    usual = _CHUNK + (1 << 16)
+    if n > usual or not _powers:
+        found = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(max(n, usual), base, np.uint64)
             steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+            found.append(np.cumprod(steps))
+        if n > usual:
+            return found[0][:n], found[1][:n]
+        _powers[:] = found
+    return _powers[0][:n], _powers[1][:n]
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +304,7 @@ def links(sets: DataFrame) -> DataFrame:
                 n = [len(s) for s in chosen]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen).view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), n)), pa.array(np.repeat(may, n).astype(np.int32))], ["token", "doc_id", "may"])
 
-    rows = sets.select("doc_id", "shingles").mapInArrow(tokens, "token long, doc_id long, may int")
+    rows = sets.select("doc_id", "shingles").mapInArrow(tidy_map(tokens), "token long, doc_id long, may int")
     pivots = rows.groupBy("token").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("holders")).filter("pivot < last").drop("last")
     counted = rows.join(pivots, "token").groupBy("doc_id", "may", "pivot").agg(F.count(F.lit(1)).alias("n"), F.max("holders").alias("holders"))
     # first the pivots with the fewest shingles for the size of their group: those within the bound are forgotten
@@ -321,7 +325,7 @@ def links(sets: DataFrame) -> DataFrame:
     in_chunks = split.join(hosts, "pivot").select("pivot", "band", "copies", _numbers_up_to(F.col("chunks")).alias("chunk")).withColumn("copy", F.pmod(F.xxhash64("band", "chunk"), F.col("copies")))
     in_chunks = in_chunks.join(pivot_sets, ["pivot", "copy"]).select("pivot", F.col("pivot").alias("doc_id"), F.lit(True).alias("split"), "band", "chunk", "shingles")
     gathered = dealt.join(sets, "doc_id").select("pivot", "doc_id", "split", "band", "chunk", "shingles").unionByName(in_chunks)
-    searched = gathered.groupBy("pivot", "band", "chunk").applyInArrow(_search_chunk, "u long, v long, pivot long")
+    searched = gathered.groupBy("pivot", "band", "chunk").applyInArrow(tidy_group(_search_chunk), "u long, v long, pivot long")
     searched = stored(searched, "jaccard-links")
     found, apart = searched.filter("u <> v").select("u", "v"), searched.filter("u = v").select("pivot", F.col("u").alias("doc_id")).distinct()
     if apart.isEmpty():
@@ -339,7 +343,7 @@ def links(sets: DataFrame) -> DataFrame:
     sent = look_up(reach, asked.drop("n"), ["pivot", "band"], "asking").withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("slices"))).select("pivot", "doc_id", "band", _numbers_up_to(F.col("chunks")).alias("chunk"), "slice", F.lit(_ASKS).alias("part"))
     where = look_up(dealt.filter("split"), asked.select("pivot", "band", "slices", "n"), ["pivot", "band"], "n").join(left.withColumn("part", F.lit(_APART)), ["pivot", "doc_id"], "left")
     where = where.select("pivot", "doc_id", "band", "chunk", _numbers_up_to(F.col("slices")).alias("slice"), F.coalesce("part", F.lit(_CONNECTED)).alias("part"))
-    across = sent.unionByName(where).join(sets, "doc_id").groupBy("pivot", "band", "chunk", "slice").applyInArrow(_search_apart, "u long, v long")
+    across = sent.unionByName(where).join(sets, "doc_id").groupBy("pivot", "band", "chunk", "slice").applyInArrow(tidy_group(_search_apart), "u long, v long")
     return labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(across)
 
 
@@ -359,7 +363,7 @@ def _kept_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         shingles.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shingles, pa.binary())], ["doc_id", "shingles"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "d1", "d2").mapInArrow(sets, "doc_id long, shingles binary")
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "d1", "d2").mapInArrow(tidy_map(sets), "doc_id long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

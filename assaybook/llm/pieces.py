@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaybook.llm.common import text_bytes_total, utf8
+from assaybook.llm.common import text_bytes_total, tidy_group, tidy_map, utf8
 from assaybook.llm.shared_keys import as_bytes, buckets_for
 
 MARKER = "▁"
@@ -219,9 +219,9 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str]
         return pa.table(columns, [f.name for f in names] + ["ids", "decoded"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in names] + ["ids array<int>", "decoded string"])
-    asked = kept.mapInArrow(numbered, _SCHEMA)
-    told = asked.groupBy("bucket").applyInArrow(answer, _SCHEMA)
-    return told.groupBy("block").applyInArrow(place, schema)
+    asked = kept.mapInArrow(tidy_map(numbered), _SCHEMA)
+    told = asked.groupBy("bucket").applyInArrow(tidy_group(answer), _SCHEMA)
+    return told.groupBy("block").applyInArrow(tidy_group(place), schema)
 
 
 def with_digests(coded: DataFrame) -> DataFrame:

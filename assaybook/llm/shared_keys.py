@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from assaybook.llm.common import tidy_group, tidy_map
+
 ENTRIES_A_BLOCK, DOCUMENTS_A_BLOCK = 2_000_000, 100_000
 _LOCAL = np.uint32(0xFFFFFFFF)
 _PROBE, _ANSWER, _ABOUT = 0, 1, 2
@@ -149,6 +151,6 @@ def find_shared(docs: DataFrame, gather: Callable[[Iterator[pa.RecordBatch]], It
         refs = np.sort(np.concatenate([np.frombuffer(r.as_buffer(), "<u4") for r in table["refs"]]))
         return finish(pa.ipc.open_stream(table["keys"][own].as_buffer()).read_all(), refs)
 
-    sent = docs.mapInArrow(emit, _SCHEMA)
-    told = sent.groupBy("bucket").applyInArrow(_answers, _SCHEMA)
-    return told.select("block", "kind", "keys", "refs").groupBy("block").applyInArrow(end, schema)
+    sent = docs.mapInArrow(tidy_map(emit), _SCHEMA)
+    told = sent.groupBy("bucket").applyInArrow(tidy_group(_answers), _SCHEMA)
+    return told.select("block", "kind", "keys", "refs").groupBy("block").applyInArrow(tidy_group(end), schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaybook.llm.common import mix64
+from assaybook.llm.common import mix64, tidy_map
 
 ROWS_A_CLASS, LONGEST = 1500, 65_536
 BUCKETS, DIMENSIONS, WINDOW = 1 << 17, 8, 16
@@ -318,7 +318,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "sc
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*names, into])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{into}` double")
+    return docs.mapInArrow(tidy_map(run), f"{schema}, `{into}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
