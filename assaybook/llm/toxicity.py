@@ -42,7 +42,8 @@ BUCKETS, DIMENSIONS, WINDOW = 1 << 17, 8, 16
 _GRAMS = (3, 4, 5)
 RATE = 1.0
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-_TABLE_WORDS, _CHUNK_BYTES = 500_000, 1 << 21
+# bounds of a scoring worker's memory; no score depends on them
+_TABLE_WORDS, _CHUNK_BYTES, _WORDS_AT_ONCE = 150_000, 1 << 20, 10_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -94,9 +95,11 @@ class Model:
     def word_scores(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros(0)
-        buckets, starts = subwords(words)
-        sums = np.add.reduceat(self.weight[buckets], starts)
-        return sums / np.diff(np.append(starts, len(buckets)))
+        means = []
+        for k in range(0, len(words), _WORDS_AT_ONCE):
+            buckets, starts = subwords(words[k : k + _WORDS_AT_ONCE])
+            means.append(np.add.reduceat(self.weight[buckets], starts) / np.diff(np.append(starts, len(buckets))))
+        return np.concatenate(means)
 
     def top(self, scores: np.ndarray) -> float:
         """The highest window's logit."""
