@@ -52,8 +52,11 @@ class Block:
 
     def rows(self, block: int, n_buckets: int) -> pa.RecordBatch:
         keys, docs, refs = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((self.keys, np.uint64), (self.docs, np.uint32), (self.refs, np.uint32)))
+        # the parts are joined: let go of them before the copies that follow
+        self.keys, self.docs, self.refs = [], [], []
         order = np.argsort(keys, kind="stable")
         keys, docs, refs = keys[order], docs[order], refs[order]
+        del order
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts) if len(keys) else np.zeros(0, bool)
         local = np.repeat(several, np.diff(np.append(starts, len(keys))))
