@@ -73,16 +73,18 @@ def refresh(store: Store, crawl_id: int, rows: DataFrame, complete: bool, sweeps
     store.commit(crawl_id, tables)
 
 
-def start(source: DataFrame, store: Store, checkpoint: str, complete: bool = True, reads=None):
+def start(source: DataFrame, store: Store, checkpoint: str, complete: bool | None = None, reads=None):
     """Run ``refresh`` over a stream of observation rows until it has no more.
 
-    ``reads`` gives the ``sweeps`` and ``pages`` of a crawl by its number. Without it every micro-batch counts as
-    the whole of the resources it holds: pass ``complete=False`` where a crawl may come in several.
+    ``reads`` gives the ``sweeps`` and ``pages`` of a crawl by its number, and the gate decides what it retracts.
+    Without it nothing is retracted, unless ``complete=True`` gives the caller's word that every micro-batch is
+    the whole of the resources it holds.
     """
+    retracts = reads is not None if complete is None else complete
 
     def batch(rows: DataFrame, number: int) -> None:
         with store.writer():
-            refresh(store, number + 1, rows, complete, *(reads(number + 1) if reads else ()))
+            refresh(store, number + 1, rows, retracts, *(reads(number + 1) if reads else ()))
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -97,11 +97,21 @@ def test_stream_equals_batches(spark, tmp_path):
         rows(spark, n, items).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
     store = Store(spark, f"file://{tmp_path}/store")
     stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    ledger_stream.start(stream, store, f"{tmp_path}/checkpoint").awaitTermination()
+    ledger_stream.start(stream, store, f"{tmp_path}/checkpoint", complete=True).awaitTermination()
     assert {r.local_id for r in ledger_stream.live(store).collect()} == {"k1", "k2"}
     assert fold.highest_revisions(store.table("observation")).count() == 3
 
 
+def test_a_stream_without_reads_or_word_of_completeness_retracts_nothing(spark, tmp_path):
+    for n, items in enumerate(CRAWLS, 1):
+        rows(spark, n, items).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    store = Store(spark, f"file://{tmp_path}/store")
+    stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    ledger_stream.start(stream, store, f"{tmp_path}/checkpoint").awaitTermination()
+    assert store.table("retraction").count() == 0
+    assert {r.local_id for r in ledger_stream.live(store).collect()} == {"k1", "k2", "k3"}
+
+
 ADAPTER = r'''
 import json, sys
 mode = sys.argv[1]
