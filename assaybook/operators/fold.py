@@ -52,6 +52,11 @@ def live_set(revised: DataFrame, retractions: DataFrame, resource_id: str | None
     return found if resource_id is None else found.filter(F.col("resource_id") == resource_id)
 
 
+def listed(live: DataFrame) -> DataFrame:
+    """The live set in the order in which it is shown."""
+    return live.orderBy("local_id", "adapter_id")
+
+
 def retractions_of_complete_sweeps(revised: DataFrame) -> DataFrame:
     """All retractions at once, if every crawl was complete and no exemption applies.
 

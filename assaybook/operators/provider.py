@@ -66,6 +66,11 @@ def high_water(txs: DataFrame) -> DataFrame:
     return txs.filter("height IS NOT NULL").agg(F.max(F.struct("height", "txid")).alias("high_water")).select("high_water.*")
 
 
+def mempool_ids(txs: DataFrame) -> DataFrame:
+    """The transactions that wait for a block, each once."""
+    return txs.filter("height IS NULL").select("txid").distinct()
+
+
 def first_page(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
     """Add ``on_first_page``: a running sum of sizes, and a byte between, within the budget."""
     run = F.sum(F.col(size) + 1).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))

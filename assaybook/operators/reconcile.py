@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,20 @@ def reconcile(left: DataFrame, right: DataFrame, key: list[str], value: str) ->
     return a.join(b, key, "full_outer").select(*key, "left_total", "right_total", F.col("left_total").eqNullSafe(F.col("right_total")).alias("agrees"))
 
 
+def stable_view(rows: DataFrame) -> DataFrame:
+    """Rows without the time of their arrival, which differs from one crawl to the next."""
+    return rows.withColumn("provenance", F.col("provenance").dropFields("received_at"))
+
+
+def extra_differs(actual: Column, expected: Column) -> Column:
+    """Whether an extra object is not exactly the expected one, whatever the order of its keys and its white space.
+
+    Nothing expected (null) accepts anything; an absent object is JSON null.
+    """
+    exact = lambda c: F.to_json(F.parse_json(c))
+    return expected.isNotNull() & (exact(F.coalesce(actual, F.lit("null"))) != exact(expected))
+
+
 def history_lists(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("local_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]).alias("history"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaybook.functions import money, rfc3339, text, wire
-from assaybook.operators import balances, fold, pages, provider, reconcile, sweep
+from assaybook.operators import balances, crawls, fold, pages, provider, reconcile, sweep
 from assaybook.plans import views
 from assaybook.plans.views import BAL_SQL, LEG_SQL, MONEY_SQL, OBS_SQL, TIME_SQL, TX_SQL, table
 
@@ -520,3 +520,100 @@ def q_ingest(spark, d):
     rows = _hashed(spark, d).select("adapter_id", "local_id", "arrival_index", "content_hash", "received_at", "surface")
     head = spark.createDataFrame([], "adapter_id string, local_id string, received_at string, surface string, arrival_index long, content_hash string, max_revision long, buried boolean")
     return sweep.ingest(head, rows).select("adapter_id", "local_id", "arrival_index", "revision", "appended")
+
+
+_EVENTS = """ev AS (SELECT 'a' || (user_id % 5) AS adapter_id, CAST(user_id AS VARCHAR) AS resource_id, event_id // 500 AS crawl_id, event_id AS event_no, row_number() OVER (PARTITION BY user_id, event_id // 500 ORDER BY event_id) AS i,
+ count(*) OVER (PARTITION BY user_id, event_id // 500) AS n FROM events),
+e AS (SELECT * EXCLUDE (i, n), CASE WHEN i = 1 THEN 'open' WHEN i = n AND event_no % 4 > 0 THEN 'finish' ELSE 'cursor' END AS kind, CASE WHEN event_no % 3 > 0 THEN 'p' || event_no END AS page, event_no % 2 = 0 AS drained, event_no % 3 = 0 AS complete FROM ev),
+st AS (SELECT adapter_id, resource_id, crawl_id, max(CASE WHEN kind = 'open' THEN page END) AS start_page, arg_max(coalesce(page, ''), event_no) FILTER (kind <> 'finish') AS cur, bool_or(kind = 'finish' AND drained) AS dr, bool_or(kind = 'finish' AND complete) AS co,
+ max(CASE WHEN kind = 'finish' AND NOT complete THEN 'r' || event_no END) AS disqualified_reason FROM e GROUP BY ALL),
+states AS (SELECT adapter_id, resource_id, crawl_id, start_page, CASE WHEN NOT dr AND cur <> '' AND crawl_id = max(crawl_id) OVER (PARTITION BY adapter_id, resource_id) THEN cur END AS next_page, dr AS drained, co AS complete, disqualified_reason FROM st)"""
+
+
+def _crawl_states(spark, d):
+    crawl = Window.partitionBy("user_id", "crawl_id")
+    e = table(spark, d, "events").select("user_id", "event_id", F.expr("event_id div 500").alias("crawl_id"))
+    e = e.withColumn("i", F.row_number().over(crawl.orderBy("event_id"))).withColumn("n", F.count(F.lit(1)).over(crawl))
+    n = F.col("event_id")
+    kind = F.when(F.col("i") == 1, "open").when((F.col("i") == F.col("n")) & (n % 4 > 0), "finish").otherwise("cursor")
+    complete = n % 3 == 0
+    return crawls.crawl_states(e.select(
+        F.concat(F.lit("a"), F.col("user_id") % 5).alias("adapter_id"), F.col("user_id").cast("string").alias("resource_id"), "crawl_id", n.alias("event_no"), kind.alias("kind"),
+        F.when(n % 3 > 0, F.concat(F.lit("p"), n)).alias("page"), (n % 2 == 0).alias("drained"), complete.alias("complete"), F.when(~complete, F.concat(F.lit("r"), n)).alias("disqualified_reason"),
+    ))
+
+
+@query(f"WITH {_EVENTS} SELECT * FROM states")
+def q_crawl_states(spark, d):
+    return _crawl_states(spark, d)
+
+
+@query(f"""WITH {_EVENTS}, left_at AS (SELECT *, 'd' || (crawl_id % 3) AS derivation, CASE WHEN crawl_id % 5 > 0 THEN 'f' || (crawl_id % 2) END AS fingerprint FROM states WHERE next_page IS NOT NULL),
+h AS (SELECT DISTINCT adapter_id, resource_id, 'd' || (CAST(resource_id AS BIGINT) % 3) AS derivation, 'f' || (CAST(resource_id AS BIGINT) % 2) AS fingerprint FROM states)
+SELECT h.adapter_id, h.resource_id, l.next_page AS start_page, l.next_page IS NULL AS began_at_start FROM h LEFT JOIN left_at l ON h.adapter_id = l.adapter_id AND h.resource_id = l.resource_id AND h.derivation = l.derivation AND h.fingerprint = l.fingerprint""")
+def q_resume_points(spark, d):
+    states = _crawl_states(spark, d)
+    known = states.withColumn("derivation", F.concat(F.lit("d"), F.col("crawl_id") % 3)).withColumn("fingerprint", F.when(F.col("crawl_id") % 5 > 0, F.concat(F.lit("f"), F.col("crawl_id") % 2)))
+    number = F.col("resource_id").cast("long")
+    hello = states.select("adapter_id", "resource_id").distinct().withColumn("derivation", F.concat(F.lit("d"), number % 3)).withColumn("fingerprint", F.concat(F.lit("f"), number % 2))
+    return crawls.resume_points(known, hello)
+
+
+@query(f"""WITH {BAL_SQL}, s AS (SELECT DISTINCT resource_id, CASE WHEN strlen(resource_id) % 2 = 0 THEN 'fetched' ELSE 'stale' END AS outcome FROM bal) SELECT balance_id, s.outcome FROM bal JOIN s USING (resource_id)""")
+def q_balance_outcome(spark, d):
+    rows = views.balance_rows(spark, d)
+    statuses = rows.select("resource_id").distinct().withColumn("outcome", F.when(F.octet_length("resource_id") % 2 == 0, "fetched").otherwise("stale"))
+    return crawls.with_outcome(rows, statuses).select("balance_id", "outcome")
+
+
+@query("""WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'protocol_violation' WHEN 1 THEN 'wire' WHEN 2 THEN 'timeout' WHEN 3 THEN 'wire' END AS error, CASE event_id % 3 WHEN 0 THEN 'invalid_request' WHEN 1 THEN 'internal' END AS code FROM events)
+SELECT event_id, error IS NOT NULL AND (error = 'protocol_violation' OR (error = 'wire' AND code IS NOT NULL AND code = 'invalid_request')) AS broke FROM e""")
+def q_broke_contract(spark, d):
+    n = F.col("event_id")
+    error = F.when(n % 5 == 0, "protocol_violation").when((n % 5).isin(1, 3), "wire").when(n % 5 == 2, "timeout")
+    code = F.when(n % 3 == 0, "invalid_request").when(n % 3 == 1, "internal")
+    return table(spark, d, "events").select("event_id", crawls.broke_contract(error, code).alias("broke"))
+
+
+@query("""SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS local_id FROM part WHERE p_partkey % 3 = 0 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""")
+def q_must_not_appear(spark, d):
+    emitted = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("local_id"))
+    omitted = table(spark, d, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("local_id"))
+    return crawls.must_not_appear(emitted, omitted)
+
+
+@query(f"WITH {TX_SQL} SELECT DISTINCT txid FROM one WHERE height IS NULL")
+def q_mempool_ids(spark, d):
+    return provider.mempool_ids(provider.distinct_transactions(views.transactions(spark, d), *_TIES))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN o_custkey % 2 = 0 ELSE true END AS differs FROM orders""")
+def q_extra_exact(spark, d):
+    """Nothing expected; a key too many; the same in another order where the customer is odd; absent against an object."""
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey")
+    plain = F.concat(F.lit('{"a":'), k, F.lit(',"b":{"c":[1,2],"d":"x"}}'))
+    turned = F.concat(F.lit('{ "b": {"d":"x", "c":'), F.when(c % 2 == 0, "[2,1]").otherwise("[1,2]"), F.lit('}, "a":'), k, F.lit("}"))
+    more = F.concat(F.lit('{"a":'), k, F.lit(',"b":{"c":[1,2],"d":"x","e":null}}'))
+    kind = F.col("o_orderkey") % 4
+    actual = F.when(kind == 0, plain).when(kind == 1, more).when(kind == 2, turned)
+    return table(spark, d, "orders").select("o_orderkey", reconcile.extra_differs(actual, F.when(kind > 0, plain)).alias("differs"))
+
+
+@query(f"""WITH {OBS_SQL} SELECT adapter_id, local_id, count(DISTINCT state) AS views FROM obs GROUP BY ALL""")
+def q_stable_view(spark, d):
+    """Distinct observations of a record when the time of arrival isn't looked at."""
+    rows = views.obs_events(spark, d).withColumn("provenance", F.struct("state", "received_at"))
+    stable = reconcile.stable_view(rows).select("adapter_id", "local_id", "provenance").distinct()
+    return stable.groupBy("adapter_id", "local_id").agg(F.count(F.lit(1)).alias("views"))
+
+
+@query("""WITH RECURSIVE res AS (SELECT DISTINCT o_custkey // 20 AS reply, o_custkey % 20 AS place, CAST(o_custkey AS VARCHAR) AS resource_id, 40 + strlen(CAST(o_custkey AS VARCHAR)) AS st FROM orders),
+ends AS (SELECT CAST(o_custkey AS VARCHAR) AS resource_id, sum(o_orderkey % 400 + 51) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS e FROM orders),
+lists AS (SELECT resource_id, list(CAST(e AS BIGINT)) AS es FROM ends GROUP BY 1), r AS (SELECT reply, resource_id, row_number() OVER (PARTITION BY reply ORDER BY place) AS k, es FROM res JOIN lists USING (resource_id)),
+f AS (SELECT reply, CAST(0 AS BIGINT) AS k, CAST('' AS VARCHAR) AS resource_id, CAST(greatest(0, 9000 - sum(st)) AS BIGINT) AS rest, CAST(0 AS BIGINT) AS page_budget, CAST(0 AS BIGINT) AS n_taken, CAST(0 AS BIGINT) AS bytes_taken FROM res GROUP BY reply
+ UNION ALL SELECT reply, k, resource_id, rest - b, m, n, b FROM (SELECT r.reply, r.k, r.resource_id, f.rest, least(f.rest, 1500) AS m, len(list_filter(r.es, lambda x: x <= least(f.rest, 1500))) AS n, coalesce(list_max(list_filter(r.es, lambda x: x <= least(f.rest, 1500))), 0) AS b FROM f JOIN r ON r.reply = f.reply AND r.k = f.k + 1))
+SELECT reply, resource_id, page_budget, CAST(n_taken AS INTEGER) AS n_taken, bytes_taken FROM f WHERE k > 0""")
+def q_reply_pages(spark, d):
+    o = table(spark, d, "orders").select(F.expr("o_custkey div 20").alias("reply"), F.col("o_custkey").cast("string").alias("resource_id"), (F.col("o_custkey") % 20).alias("place"), "o_orderkey", (F.col("o_orderkey") % 400 + 50).alias("size"))
+    resources = o.select("reply", "place", "resource_id", (F.octet_length("resource_id") + 40).alias("status_bytes")).distinct()
+    return crawls.reply_pages(o, resources, "o_orderkey", 9000, 1500)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaybook.operators import balances, fold, pages, provider, reconcile, sweep
+from assaybook.operators import balances, crawls, fold, pages, provider, reconcile, sweep
 from assaybook.plans import queries, views
 
 SF = "/root/testdata/sf0.001"
@@ -218,3 +218,37 @@ def test_no_query_returns_floating_point(spark):
 def test_one_exchange_serves_revision_and_head(spark):
     plan = fold.heads(fold.revisions(views.obs_events(spark, SF)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_balance_needs_one_status(spark):
+    lines = spark.createDataFrame([(1, "r1"), (2, "r2")], "balance_id long, resource_id string")
+    statuses = lambda *rows: spark.createDataFrame(rows, "resource_id string, outcome string")
+    got = crawls.with_outcome(lines, statuses(("r1", "fetched"), ("r2", "stale"), ("r3", "gone"))).collect()
+    assert {(r.balance_id, r.outcome) for r in got} == {(1, "fetched"), (2, "stale")}
+    for bad in (statuses(("r1", "fetched")), statuses(("r1", "fetched"), ("r2", "stale"), ("r2", "stale"))):
+        with pytest.raises(Exception, match="whose statuses number"):
+            crawls.with_outcome(lines, bad).collect()
+
+
+def test_crawls_resume_only_where_nothing_moved(spark):
+    events = [("a", "r", 1, 1, "open", None, None), ("a", "r", 1, 2, "cursor", "p1", None), ("a", "r", 2, 3, "open", "p1", None), ("a", "r", 2, 4, "cursor", "p2", None), ("a", "r", 2, 5, "finish", None, False)]
+    rows = spark.createDataFrame(events, "adapter_id string, resource_id string, crawl_id long, event_no long, kind string, page string, drained boolean")
+    states = crawls.crawl_states(rows.withColumn("complete", F.lit(False)).withColumn("disqualified_reason", F.lit(None).cast("string")))
+    assert {r.crawl_id: r.next_page for r in states.collect()} == {1: None, 2: "p2"}
+    left = lambda d, f: states.withColumn("derivation", F.lit(d)).withColumn("fingerprint", F.lit(f).cast("string"))
+    hello = spark.createDataFrame([("a", "r", "v1", "f1"), ("a", "q", "v1", "f1")], "adapter_id string, resource_id string, derivation string, fingerprint string")
+    at = lambda d, f: {r.resource_id: (r.start_page, r.began_at_start) for r in crawls.resume_points(left(d, f), hello).collect()}
+    assert at("v1", "f1") == {"r": ("p2", False), "q": (None, True)}
+    assert at("v2", "f1")["r"] == at("v1", "f2")["r"] == at("v1", None)["r"] == (None, True)
+
+
+def test_live_records_are_listed_by_id(spark):
+    rows = spark.createDataFrame([("b", "k1"), ("a", "k2"), ("a", "k1")], "adapter_id string, local_id string")
+    assert [tuple(r) for r in fold.listed(rows).collect()] == [("a", "k1"), ("b", "k1"), ("a", "k2")]
+
+
+def test_a_reply_reserves_every_status_before_its_pages(spark):
+    resources = spark.createDataFrame([(1, 0, "x", 40), (1, 1, "y", 40), (1, 2, "z", 40), (2, 0, "w", 500)], "reply long, place long, resource_id string, status_bytes long")
+    rows = spark.createDataFrame([(1, "x", 1, 50), (1, "x", 2, 49), (1, "x", 3, 1), (1, "y", 1, 60), (2, "w", 1, 1)], "reply long, resource_id string, n long, size long")
+    got = {r.resource_id: (r.page_budget, r.n_taken, r.bytes_taken) for r in crawls.reply_pages(rows, resources, "n", 260, 100).collect()}
+    assert got == {"x": (100, 2, 100), "y": (40, 0, 0), "z": (40, 0, 0), "w": (0, 0, 0)}
