@@ -29,8 +29,16 @@ def instant(ts: Column) -> Column:
     return F.when(good, F.struct(secs.alias("secs"), F.rpad(fraction, 9, "0").try_cast("int").alias("nanos")))
 
 
+def utc_text(unix_secs: Column) -> Column:
+    """The UTC date and time; years after 9999 take as many digits as they need, for which RFC 3339 has no room."""
+    t = F.timestamp_seconds(unix_secs)
+    return F.concat(F.format_string("%04d", F.year(t)), F.date_format(t, "-MM-dd'T'HH:mm:ss'Z'"))
+
+
 def rfc3339_utc(unix_secs: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(unix_secs), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Null where the year has no four digits."""
+    text = utc_text(unix_secs)
+    return F.when(valid(text), text)
 
 
 def civil_from_days(days: Column) -> Column:
